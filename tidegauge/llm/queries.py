@@ -6,17 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest_neighbours
 from .bpe import bpe_round_trip
 from .common import table
+from .ctw import ctw_scores
+from .html_templates import extract_without_templates
 from .minhash import near_duplicates
 from .mixing import mix_plan
 from .toxicity import toxicity
+from .url_rules import url_filter
+from .video import conversation_media, detect_shots
+from .warc import pages_through_warc
+
+
+def op1_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has media: every conversation is first turned into an AVI file of its own."""
+    return detect_shots(conversation_media(table(spark, sf_dir, "conversations")))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,11 +44,23 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_without_templates(table(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_through_warc(table(spark, sf_dir, "pages"))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op2_toxicity, op5_minhash, op6_mixing, op10_bpe]
+_QUERIES = [op1_video, op2_toxicity, op3_url_rules, op4_ctw, op5_minhash, op6_mixing, op7_html, op8_warc, op9_ann, op10_bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -37,4 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_warc": """
+            SELECT page_id, url, 200 AS http_status, octet_length(encode(html)) AS n_bytes, md5(html) AS digest
+            FROM pages WHERE html IS NOT NULL
+        """,
+    }
