@@ -177,7 +177,7 @@ def pack(mins: np.ndarray) -> np.ndarray:
     """Low BITS bits of the minima, slot after slot, as rows of SIGNATURE_BYTES bytes."""
     low = (mins & np.uint32((1 << BITS) - 1)).astype(np.uint8)
     bits = (low[:, :, None] >> np.arange(BITS, dtype=np.uint8)) & 1
-    return np.packbits(bits.reshape(len(mins), -1), axis=1, bitorder="little")
+    return np.packbits(bits.reshape(len(mins), PERMUTATIONS * BITS), axis=1, bitorder="little")
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
@@ -288,13 +288,53 @@ def _forest_of_runs(threshold: float) -> Callable[[Iterable[pa.RecordBatch]], It
     return run
 
 
+def _shared_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, node) sorted by key, node -> (bucket, node) of the keys with several nodes; bucket is a hash of its set of nodes.
+
+    Copies meet in many bands; buckets of the same nodes get the same hash, and a task lists each once."""
+    seen: set[int] = set()
+    keys, nodes = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def found(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+        size = np.diff(np.append(begin, len(keys)))
+        hashed = _mix(nodes.view(np.uint64))
+        bucket = _mix(np.add.reduceat(hashed, begin) + size.astype(np.uint64)).view(np.int64)
+        new = np.zeros(len(begin), bool)
+        for r in np.flatnonzero(size > 1):
+            h = int(bucket[r])
+            if h not in seen:
+                seen.add(h)
+                new[r] = True
+        rows = np.repeat(new, size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, size)[rows]), pa.array(nodes[rows])], ["bucket", "node"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, nodes = np.concatenate([keys, b.column(0).to_numpy()]), np.concatenate([nodes, b.column(1).to_numpy()])
+        last = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+        if last:
+            yield from found(keys[:last], nodes[:last])
+            keys, nodes = keys[last:], nodes[last:]
+        if len(seen) > 1_000_000:
+            seen.clear()
+    if len(keys):
+        yield from found(keys, nodes)
+
+
 def near_edges(sigs: DataFrame, threshold: float = SIMILAR_FROM) -> DataFrame:
-    """Edges (a, b), a < b, that connect the near copies among sigs(node, sig, keys)."""
+    """Edges (a, b), a < b, that connect the near copies among sigs(node, sig, keys).
+
+    Only keys and nodes go through the large shuffle; signatures follow for the nodes that share a bucket."""
     same = sigs.groupBy("sig").agg(F.min("node").alias("rep"), F.min_by("keys", "node").alias("keys"), F.collect_set("node").alias("nodes"))
     same = materialize(same)
     equal = same.select(F.col("rep").alias("a"), F.explode("nodes").alias("b")).filter("a < b")
-    banded = same.select(F.explode("keys").alias("key"), F.col("rep").alias("node"), "sig")
-    runs = banded.repartition("key").sortWithinPartitions("key")
+    banded = same.select(F.explode("keys").alias("key"), F.col("rep").alias("node"))
+    shared = banded.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_buckets, "bucket bigint, node bigint")
+    shared = shared.repartition("bucket").distinct()
+    runs = shared.join(same.select(F.col("rep").alias("node"), "sig"), "node").select("bucket", "node", "sig")
+    runs = runs.repartition("bucket").sortWithinPartitions("bucket")
     return equal.unionByName(runs.mapInArrow(_forest_of_runs(threshold), "a bigint, b bigint")).distinct()
 
 
