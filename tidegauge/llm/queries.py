@@ -13,6 +13,7 @@ from .ctw import ctw_scores
 from .html_templates import extract_without_templates
 from .minhash import near_duplicates
 from .mixing import mix_plan
+from .oracles import oracle_sql as oracle_sql
 from .toxicity import toxicity
 from .url_rules import url_filter
 from .video import conversation_media, detect_shots
@@ -65,12 +66,3 @@ _QUERIES = [op1_video, op2_toxicity, op3_url_rules, op4_ctw, op5_minhash, op6_mi
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _QUERIES}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {
-        "op8_warc": """
-            SELECT page_id, url, 200 AS http_status, octet_length(encode(html)) AS n_bytes, md5(html) AS digest
-            FROM pages WHERE html IS NOT NULL
-        """,
-    }
