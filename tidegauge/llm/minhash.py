@@ -24,11 +24,12 @@ from pyspark.sql.window import Window
 from .common import fits_broadcast, materialize
 
 SHINGLE_WORDS = 3
-PERMUTATIONS = 128
-BANDS = 32
+PERMUTATIONS = 160
+BANDS = 40
 BITS = 4
-#: Two texts are near copies from this estimated Jaccard similarity of their shingles.
-SIMILAR_FROM = 0.5
+#: Two texts are near copies from this estimated Jaccard similarity of their shingles. One word in ten replaced leaves 0.57;
+#: the estimate's deviation is 0.04 there, and 40 bands of 4 find such a pair with probability 0.99.
+SIMILAR_FROM = 0.45
 #: Bytes of text hashed at a time; bounds memory whatever the length of a text.
 CHUNK_BYTES = 1 << 20
 
