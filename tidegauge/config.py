@@ -42,10 +42,8 @@ CATEGORY_TERMS: dict[str, tuple[str, ...]] = {
         "culture": "music,film,sport,culture",
     }.items()
 }
-CATEGORY_WEIGHTS: dict[str, float] = {
-    "conflict": 1.2, "culture": 0.7, "disaster": 1.1, "economy": 1.0, "environment": 1.1,
-    "governance": 1.0, "health": 1.1, "rights": 1.1, "science": 0.9, "technology": 0.9,
-}
+_BY_WEIGHT = {1.2: "conflict", 1.1: "health rights environment disaster", 1.0: "governance economy", 0.9: "technology science", 0.7: "culture"}
+CATEGORY_WEIGHTS: dict[str, float] = {name: weight for weight, names in _BY_WEIGHT.items() for name in names.split()}
 CATEGORIES = tuple(sorted(CATEGORY_WEIGHTS))
 STRONG_WORDS = "catastrophic|deadly|devastating|historic|major|mass|urgent"
 GLOBAL_WORDS = "countries|global|international|millions|nationwide|world"
@@ -61,9 +59,11 @@ NOTE_FALLBACK = "No model assessment was available; scored by keywords."
 
 STATUSES = ("emerging", "confirmed", "updated", "resolved", "disputed")
 SCOPES = ("local", "national", "regional", "global")
+#: name: (feed's host, feed's path, home page's host, home page's path, language, reliability, bias note)
+_SOURCES = {
+    "Al Jazeera": ("https://www.aljazeera.com", "/xml/rss/all.xml", "https://www.aljazeera.com", "", "en", 0.75, "Based in Qatar, with a wider view of the Middle East"),
+    "BBC World": ("http://feeds.bbci.co.uk", "/news/world/rss.xml", "https://www.bbc.com", "/news/world", "en", 0.8, "Public broadcaster of the UK"),
+    "NPR World": ("https://feeds.npr.org", "/1004/rss.xml", "https://www.npr.org", "/sections/world/", "en", 0.8, "Public radio of the US"),
+}
 #: (name, feed url, home page, language, reliability, bias note)
-SOURCES = (
-    ("Al Jazeera", "https://www.aljazeera.com/xml/rss/all.xml", "https://www.aljazeera.com", "en", 0.75, "Based in Qatar, with a wider view of the Middle East"),
-    ("BBC World", "http://feeds.bbci.co.uk/news/world/rss.xml", "https://www.bbc.com/news/world", "en", 0.8, "Public broadcaster of the UK"),
-    ("NPR World", "https://feeds.npr.org/1004/rss.xml", "https://www.npr.org/sections/world/", "en", 0.8, "Public radio of the US"),
-)
+SOURCES = tuple((name, s[0] + s[1], s[2] + s[3], *s[4:]) for name, s in _SOURCES.items())
