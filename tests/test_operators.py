@@ -14,6 +14,7 @@ from tidegauge.operators import events as E
 from tidegauge.operators import index as I
 from tidegauge.operators import scoring as S
 from tidegauge.plans import datasets, pipeline, routes
+from tidegauge.plans.cache import LatestRefresh
 from tidegauge.sources import schemas, warehouse
 
 ARTICLE = "publisher string, reliability double, bias_note string, url string, headline string, excerpt string, published_at timestamp_ntz, source_ord bigint, item_ord bigint"
@@ -193,3 +194,28 @@ def test_article_upkeep(spark):
     assert [r.id for r in A.stale_articles(rows, now, 24).collect()] == ["a"]
     failed = A.mark_failed(rows, spark.createDataFrame([("b", "x"), ("b", "y")], "id string, reason string"))
     assert {r.id: (r.status, r.failure_reason) for r in failed.collect()} == {"a": ("new", None), "b": ("failed", "x; y"), "c": ("done", None)}
+
+
+def test_latest_refresh(spark):
+    clock, made = [0.0], []
+
+    def make():
+        made.append(1)
+        return pipeline.refresh(datasets.samples(spark), datasets.now().cast("timestamp"), spark.createDataFrame([], SNAPSHOT))
+
+    latest = LatestRefresh(make, clock=lambda: clock[0])
+    first = latest.get()
+    assert latest.get() is first and len(made) == 1
+    assert latest.get(force=True) is not first and len(made) == 2
+    clock[0] = 301.0
+    latest.get()
+    assert len(made) == 3
+    for view in latest.views():
+        assert spark.table(view).count() > 0
+
+
+def test_contributor_rows(spark):
+    events = spark.createDataFrame([("e1", 1.5, 2.0), ("e2", -1.0, 3.0)], "event_id string, current_impact double, age_hours double")
+    scores = spark.createDataFrame([("s1", "e1", True), ("s0", "e1", False), ("s2", "e2", True)], "id string, event_id string, is_active boolean")
+    rows = schemas.conform(I.contributor_rows(events, scores, F.lit("7")), "index_snapshot_events", F.lit("2024-01-01").cast("timestamp"))
+    assert sorted((r.id, r.event_score_id, r.current_impact, r.hours_since_detected) for r in rows.collect()) == [("7/e1", "s1", 1.5, 2.0), ("7/e2", "s2", -1.0, 3.0)]

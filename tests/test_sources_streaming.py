@@ -1,5 +1,6 @@
 """Feeds, and streams against their batch twins."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import index as I
@@ -33,6 +34,17 @@ def test_landed_feed(spark, tmp_path):
     assert [(r.url, r.headline, str(r.published_at), r.excerpt) for r in rows] == [("http://a/1", "War & peace", "2024-01-03 10:20:30", "One two"), ("http://a/4", "Bare", "2024-01-05 00:00:00", "")]
 
 
+def test_source_types(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"link": "http://a", "title": "T", "content": "c"}\nbroken\n')
+    (tmp_path / "m.csv").write_text('link,title,pubDate,contentSnippet,content\nhttp://b,"U, ""x""",2024-01-01T00:00:00Z,s,\n')
+    (tmp_path / "r.xml").write_text(RSS)
+    now = F.lit("2024-01-05").cast("timestamp")
+    got = [feeds.items_to_articles(feeds.read_items(spark, kind, str(tmp_path / name)), now).collect() for kind, name in (("api", "a.json"), ("manual", "m.csv"), ("rss", "r.xml"))]
+    assert [(r.url, r.headline, r.excerpt) for r in got[0] + got[1]] == [("http://a", "T", "c"), ("http://b", 'U, "x"', "s")] and len(got[2]) == 2
+    with pytest.raises(ValueError):
+        feeds.read_items(spark, "fax", "x")
+
+
 def test_live_feeds(spark):
     df = feeds.scan_feeds(spark, [("A", "one"), ("B", "dead"), ("C", "two")], source=LocalFeeds)
     assert {r.publisher: r["count"] for r in df.groupBy("publisher").count().collect()} == {"A": 4, "C": 4}

@@ -22,3 +22,12 @@ def iso(ts: Column) -> Column:
 def age_hours(ts: Column, now: Column) -> Column:
     """Hours from ts to now, not below 0."""
     return F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / F.lit(3_600_000_000.0))
+
+
+def display(ts: Column) -> Column:
+    """Medium date and short time, as shown to readers."""
+    return F.date_format(ts, "MMM d, yyyy, h:mm a")
+
+
+def clock(ts: Column) -> Column:
+    return F.date_format(ts, "HH:mm")

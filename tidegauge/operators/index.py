@@ -110,6 +110,14 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, ri
     return seen.select("_row.*", *[F.coalesce("_seen", "_carried")[c].alias(c) for c in right_columns])
 
 
+def contributor_rows(events: DataFrame, scores: DataFrame, snapshot_id: Column) -> DataFrame:
+    """Audit rows of a snapshot: its events(event_id, current_impact, age_hours) with the id of the active score of each of scores(id, event_id, is_active)."""
+    active = scores.filter("is_active").select("event_id", F.col("id").alias("event_score_id"))
+    rows = events.join(active, "event_id")
+    key = F.concat_ws("/", snapshot_id, "event_id")
+    return rows.select(key.alias("id"), snapshot_id.alias("snapshot_id"), "event_id", "event_score_id", "current_impact", F.col("age_hours").alias("hours_since_detected"))
+
+
 def contributors(snapshot_events: DataFrame, events: DataFrame, scores: DataFrame) -> DataFrame:
     """The events behind each snapshot, with title, category and the score's impact."""
     e = events.select(F.col("id").alias("event_id"), "title", "category")

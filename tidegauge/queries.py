@@ -15,6 +15,7 @@ from .operators import articles as A
 from .operators import assessments as M
 from .operators import events as E
 from .operators import index as I
+from .operators import matching
 from .operators import scoring as S
 from .plans import datasets as data
 from .plans import pipeline
@@ -455,6 +456,25 @@ def source_count_by_event(spark, d):
     return E.life_cycle(E.source_counts(E.cluster(data.articles(spark, d))), data.now()).select("event_key", "source_count", "articles", "status")
 
 
+_word_list = lambda c: f"CASE WHEN {_key(c)} = '' THEN [] ELSE list_distinct(string_split({_key(c)}, ' ')) END"
+
+
+@query(
+    f"WITH {_ARTICLES}, a AS (SELECT url, {_word_list('headline')} AS w FROM articles WHERE item_ord % 2 = 1), b AS (SELECT item_ord AS event_id, {_word_list('headline')} AS w FROM articles WHERE item_ord % 2 = 0 AND source_ord >= 0), "
+    "pairs AS (SELECT url, event_id, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS similarity FROM a, b WHERE len(a.w) > 0 AND len(b.w) > 0), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY similarity DESC, event_id) AS rn FROM pairs WHERE similarity >= 0.5) SELECT url, event_id, round(similarity, 6) AS similarity FROM ranked WHERE rn = 1"
+)
+def event_matching(spark, d):
+    rows = data.articles(spark, d)
+    events = rows.filter("item_ord % 2 = 0 and source_ord >= 0").select(F.col("item_ord").alias("event_id"), F.col("headline").alias("title"))
+    return matching.match_events(rows.filter("item_ord % 2 = 1"), events).select("url", "event_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT event_id, strftime(ts, '%b %-d, %Y, %-I:%M %p') AS shown, strftime(ts, '%H:%M') AS clock FROM events")
+def display_times(spark, d):
+    return data.read(spark, d, "events").select("event_id", D.display(F.col("ts")).alias("shown"), D.clock(F.col("ts")).alias("clock"))
+
+
 # --- The index ------------------------------------------------------------------------
 
 

@@ -31,6 +31,26 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("link", "title", "pubDate", text.strip_html(F.col("description")).alias("contentSnippet"), F.col("description").alias("content"))
 
 
+def read_api(spark: SparkSession, path: str) -> DataFrame:
+    """Items landed as JSON lines by a caller of some interface; unreadable lines give no item."""
+    return spark.read.schema(FEED_ITEM).json(path)
+
+
+def read_manual(spark: SparkSession, path: str) -> DataFrame:
+    """Items entered by hand: CSV files with a header."""
+    return spark.read.schema(FEED_ITEM).csv(path, header=True, enforceSchema=False, multiLine=True, escape='"')
+
+
+READERS = {"rss": read_landed, "api": read_api, "manual": read_manual}
+
+
+def read_items(spark: SparkSession, source_type: str, path: str) -> DataFrame:
+    """Items of a source by its type; more types are entries of READERS."""
+    if source_type not in READERS:
+        raise ValueError(f"unknown source type {source_type!r}; known: {', '.join(sorted(READERS))}")
+    return READERS[source_type](spark, path)
+
+
 def items_to_articles(items: DataFrame, now: Column) -> DataFrame:
     """Items with a link and a title as articles; the date defaults to the run's time, the excerpt to the content and then to ''."""
     usable = items.filter("link is not null and link <> '' and title is not null and title <> ''")
