@@ -51,6 +51,12 @@ def test_strip_html(spark):
     assert values(spark, "x string", given, X.strip_html) == ["a b", "a < b", "x y", "&amp; stays", "", None]
 
 
+def test_all_white_space(spark):
+    white = [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+    kept = [0x85, 0x1C, 0x180E, 0x200B]
+    assert values(spark, "x string", [f"a{chr(c)}b" for c in white + kept], X.strip_html) == ["a b"] * 25 + [f"a{chr(c)}b" for c in kept]
+
+
 def test_terms_are_substrings_and_count_once(spark):
     assert values(spark, "x string", ["he said war war", "award", "nothing"], lambda x: X.count_terms(x, ("aid", "war"))) == [2, 1, 0]
     assert values(spark, "x string", ["a film about war", "film", "none"], X.first_category) == ["conflict", "culture", "governance"]

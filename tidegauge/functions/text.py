@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 
-#: White space as browsers see it; Java's \s is ASCII only.
-WHITE = r"[\s\x{000b}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+#: White space as browsers see it: Java's \s is ASCII only; all of Z are spaces, line and paragraph separators.
+WHITE = r"[\s\p{Z}\x{feff}]+"
 
 
 def headline_key(headline: Column) -> Column:
