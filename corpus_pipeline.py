@@ -7,18 +7,25 @@ nulls, empty texts and repeated rows are those of its operator.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.bpe import bpe_encode
-from tidegauge.llm.common import scratch_path
+from tidegauge.llm.common import scratch_path, table
 from tidegauge.llm.minhash import drop_near_duplicates
 from tidegauge.llm.mixing import mix
-from tidegauge.llm.toxicity import drop_toxic
+from tidegauge.llm.toxicity import NO_LEXEMES, drop_toxic, fit_lexemes
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pattern grammar doesn't reject."""
-    return drop_toxic(docs)
+    """Documents that the pattern grammar doesn't reject; without a table of labels it knows English words only."""
+    try:
+        labels = table(spark, sf_dir, "labels")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return drop_toxic(docs, lexemes=NO_LEXEMES)
+    return drop_toxic(docs, lexemes=fit_lexemes(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

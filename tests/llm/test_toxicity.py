@@ -58,3 +58,25 @@ def test_odd_rows(spark):
     assert got == [(0, 0.0, False, 0), (1, 0.0, False, 0), (2, 0.0, False, 0), (3, 1.0, True, 1), (3, 1.0, True, 1)]
     assert sorted(r.doc_id or 0 for r in t.drop_toxic(docs).collect()) == [0, 1, 2] and t.drop_toxic(docs).columns == docs.columns
     assert t.toxicity(docs.limit(0)).count() == 0
+
+
+def test_lexemes():
+    lexemes = t.Lexemes(("vex",), frozenset(["vexa"]))
+    score = lambda text: t.score_text(text, lexemes)[0]
+    assert score("Un vexo. VEXI!") == 1.0 and score("l'vexo d’vexi") == 1.0 and score("vexo vexa") == 0.75
+    assert score("vexo vexo VEXO") == 0.5 and score("vex vex. convexo, vex!") == 0 and score("idiot vexo") == 1.5
+    copies = {"": (50, 500)} | {f"seldom{'x' * n}word": (20, 0) for n in range(2)} | {f"sto{c}": (9, 1) for c in "abcde"} | {"stoz": (1, 3), "sto": (1, 90)}
+    assert t.choose_lexemes(copies) == t.Lexemes(("sto",), frozenset(["sto", "stoz"]))
+    assert t.choose_lexemes({}) == t.NO_LEXEMES
+
+
+def test_recall_by_language_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    lexemes = t.fit_lexemes(docs, labels)
+    rest = labels.filter(t.held_out(t.F.col("doc_id"))).select("doc_id", t.F.col("toxic").alias("marked"))
+    rows = t.toxicity(docs, lexemes=lexemes).join(docs.select("doc_id", "lang"), "doc_id").join(rest, "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        bad, good = ([r.toxic for r in rows if r.lang == lang and r.marked == m] for m in (1, 0))
+        print(lang, sum(bad), len(bad), sum(good), len(good))
+        assert sum(bad) >= 0.8 * len(bad) > 8 and sum(good) <= 0.015 * len(good), lang
+    assert t.fit_lexemes(docs, labels.limit(0)) == t.NO_LEXEMES

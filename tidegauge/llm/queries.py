@@ -14,7 +14,7 @@ from .html_templates import extract_without_templates
 from .minhash import near_duplicates
 from .mixing import mix_plan
 from .oracles import oracle_sql as oracle_sql
-from .toxicity import toxicity
+from .toxicity import fit_lexemes, toxicity
 from .url_rules import url_filter
 from .video import conversation_media, detect_shots
 from .warc import pages_through_warc
@@ -26,7 +26,8 @@ def op1_video(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, lexemes=fit_lexemes(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
