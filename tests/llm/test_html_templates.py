@@ -63,3 +63,14 @@ def test_urls_without_host(spark):
     out = {r.page_id: (r.host, r.text) for r in h.extract_without_templates(spark.createDataFrame(rows, "page_id bigint, url string, html string"), 2, 0).collect()}
     assert out == {1: ("", ""), 2: ("", ""), 3: ("h.x", "x")}
     assert h.extract_without_templates(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_many_variants_on_a_large_host(spark, monkeypatch):
+    """60 navigations and advertisements used evenly: each on 1.67 % of the pages of a host of any size."""
+    page = lambda i: f"<html><body><nav><ul><li>Menu {i % 60}<li>Home</ul></nav><div class=ad>Buy {i * 7 % 60}</div><article><p>own {i}</p></article></body></html>"
+    rows = [(i, f"http://{'large' if i < 1200 else 'small'}.x/{i}", page(i)) for i in range(1440)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    large = lambda: {(r.page_id, r.text) for r in h.extract_without_templates(pages).collect() if r.host == "large.x"}
+    assert large() == {(i, f"own {i}") for i in range(1200)}
+    monkeypatch.setattr(h, "fits_broadcast", lambda rows, size: False)
+    assert large() == {(i, f"own {i}") for i in range(1200)}

@@ -2,9 +2,11 @@
 
 Every element gets a hash of its subtree (tag, attributes, text with white space collapsed,
 the hashes of its children). Spark counts, for each host, on how many pages each hash
-occurs. Subtrees that recur on at least MIN_PAGES pages and MIN_SHARE of the pages of their
-host are its template; they are deleted, the largest ones whole, and the text of what is
+occurs. Subtrees that recur on at least MIN_PAGES pages of their host, of whatever size, are
+its template; they are deleted, the largest ones whole, and the text of what is
 left is extracted, one line a block. Void elements (<br>) are no templates by themselves.
+A share of the host's pages can be asked for besides, but then a block of which a large host
+has many variants stays.
 
 Parsing is tolerant: unknown or unclosed tags, stray end tags, broken comments. Void
 elements have no content; paragraphs, list items, table parts and options end where HTML
@@ -17,6 +19,7 @@ import html
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import fits_broadcast, materialize
 
 MIN_PAGES = 5
-MIN_SHARE = 0.02
+MIN_SHARE = 0.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
@@ -163,17 +166,35 @@ def _distinct_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
 
 
-def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts, cuts = [], []
-        for page, templates in zip(b.column("html"), b.column("templates")):
-            page = page.as_py()
-            root = parse(page or "")
-            hash_subtrees(root)
-            text, cut = text_of(root, frozenset(templates.as_py() or ()))
-            texts.append(None if page is None else text)
-            cuts.append(cut)
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), pa.array(texts, pa.string()), pa.array(cuts, pa.int32())], ["page_id", "host", "text", "n_removed"])
+def _among(hashes: list[int], templates: np.ndarray) -> frozenset:
+    """Those of a page's hashes that are among its host's sorted templates."""
+    own = np.array(hashes, np.int64)
+    at = np.minimum(np.searchsorted(templates, own), len(templates) - 1)
+    return frozenset(own[templates[at] == own].tolist())
+
+
+def _extract(shared=None):
+    """shared: broadcast host -> sorted templates; without it they come with the rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, cuts = [], []
+            for k, page in enumerate(b.column("html")):
+                page = page.as_py()
+                if shared is not None:
+                    templates = shared.value.get(b.column("host")[k].as_py())
+                else:
+                    row = b.column("templates")[k]
+                    templates = row.values.to_numpy() if row.is_valid else None
+                root = parse(page or "")
+                order = hash_subtrees(root)
+                found = _among([e.hash for e in order], templates) if order and templates is not None else frozenset()
+                text, cut = text_of(root, found)
+                texts.append(None if page is None else text)
+                cuts.append(cut)
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), pa.array(texts, pa.string()), pa.array(cuts, pa.int32())], ["page_id", "host", "text", "n_removed"])
+
+    return run
 
 
 def host_of(url: Column) -> Column:
@@ -184,8 +205,10 @@ def host_of(url: Column) -> Column:
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, hash, pages): the template subtrees of each host of pages(url, html)."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").alias("html"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("of"))
     counts = rows.mapInArrow(_distinct_hashes, "host string, hash bigint").groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
+    if not min_share:
+        return counts
+    sizes = rows.groupBy("host").agg(F.count("*").alias("of"))
     return counts.join(sizes, "host").filter(F.col("pages") >= F.col("of") * min_share).select("host", "hash", "pages")
 
 
@@ -198,8 +221,12 @@ def extract_without_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_
     """
     templates = materialize(site_templates(pages, min_pages, min_share))
     by_host = templates.groupBy(F.col("host").alias("of_host")).agg(F.sort_array(F.collect_list("hash")).alias("templates"))
-    if fits_broadcast(templates.count(), 16):
-        by_host = F.broadcast(by_host)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host_of(F.col("url")).alias("host"), F.col("html").alias("html"))
+    result = "page_id bigint, host string, text string, n_removed int"
+    if fits_broadcast(templates.count(), 16):
+        # by reference: a large host has thousands, too many to stand in each of its rows
+        got = by_host.toArrow().combine_chunks()
+        shared = {h.as_py(): x.values.to_numpy() for h, x in zip(got.column("of_host"), got.column("templates"))}
+        return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(shared)), result)
     joined = rows.join(by_host, F.col("host") == F.col("of_host"), "left").select("page_id", "host", "html", "templates")
-    return joined.mapInArrow(_extract, "page_id bigint, host string, text string, n_removed int")
+    return joined.mapInArrow(_extract(), result)
