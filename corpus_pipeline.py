@@ -7,10 +7,13 @@ nulls, empty texts and repeated rows are those of its operator.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegauge.llm.bpe import bpe_encode
+from tidegauge.llm.bpe import bpe_encode_placed
 from tidegauge.llm.common import scratch_path, table
 from tidegauge.llm.minhash import drop_near_duplicates
 from tidegauge.llm.mixing import mix
@@ -38,9 +41,32 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs, read from files, with position: the place of each row, from 0, in the order the files were written in.
+
+    Spark reads large files first; the order is that of the numbers in the files' names and, within a file, of its rows.
+    """
+    rows = docs.select("*", F.col("_metadata.file_path").alias("__file__"), F.col("_metadata.row_index").alias("__row__"))
+    sizes = [(r[0], r[1]) for r in rows.groupBy("__file__").agg(F.count("*")).collect()]
+
+    def written(path: str) -> tuple:
+        name = path.rsplit("/", 1)[-1]
+        return [int(x) for x in re.findall(r"^part-(\d+)|\.?c(\d+)\.", name) for x in x if x], name
+
+    starts, at = [], 0
+    for path, n in sorted(sizes, key=lambda x: written(x[0])):
+        starts.append((path, at))
+        at += n
+    begin = F.broadcast(docs.sparkSession.createDataFrame(starts, "__of__ string, __start__ bigint"))
+    joined = rows.join(begin, F.col("__file__") == F.col("__of__"))
+    return joined.select(*docs.columns, (F.col("__start__") + F.col("__row__")).alias("position"))
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids in training order."""
-    return bpe_encode(docs)
+    """doc_id, n_tokens, token_ids and position, the rank in training order, by which the rows are sorted.
+
+    docs has to be read from the files that mixing wrote, of which the order is recovered."""
+    return bpe_encode_placed(placed(docs))
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("mixing", mixing), ("bpe", bpe)]

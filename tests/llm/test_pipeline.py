@@ -70,3 +70,20 @@ def test_stages(spark, sf_dir, tmp_path):
         out.write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         assert docs.count() > 0
+
+
+def test_training_order_through_several_files(spark, tmp_path):
+    """Files of unequal size, which Spark reads in another order than they were written in."""
+    rows = [(i, f"w{i} " * (1 + i % 7 * 5), "en", f"src{i % 3}", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mixed = [(r.doc_id, r.text) for r in corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()]
+    padded = [(k, i, text + " pad" * (k // 100 * 200)) for k, (i, text) in enumerate(mixed)]
+    path = str(tmp_path / "mixed")
+    by_place = spark.createDataFrame(padded, "k bigint, doc_id bigint, text string").repartitionByRange(6, "k").sortWithinPartitions("k")
+    by_place.select("doc_id", "text").write.parquet(path)
+    again = spark.read.parquet(path)
+    assert len(again.inputFiles()) == 6 and [r.doc_id for r in again.collect()] != [i for i, _ in mixed]
+    out = corpus_pipeline.bpe(spark, again, str(tmp_path)).collect()
+    assert [r.position for r in out] == list(range(len(mixed)))
+    assert [(r.doc_id, r.token_ids) for r in out] == [(i, REFERENCE.encode_ordinary(text)) for _, i, text in padded]
+    assert corpus_pipeline.bpe(spark, again.limit(0), str(tmp_path)).count() == 0

@@ -283,7 +283,8 @@ def _encode_batches(path: str, check: bool):
                 if check:
                     same = [enc.decode(np.frombuffer(x, np.int32)) == (t or "").encode() for x, t in zip(ids, texts)]
                     columns.append(pa.array(same, pa.bool_(), mask=null))
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns += [c.slice(lo, n) for c in b.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names + b.schema.names[2:])
 
     return run
 
@@ -300,6 +301,12 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_encode_batches(vocabulary, False), _ENCODED)
 
 
+def bpe_encode_placed(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """bpe_encode's columns and position (bigint) of docs(doc_id, text, position), range-sorted by position."""
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.col("position").cast("bigint").alias("position")).orderBy("position")
+    return rows.mapInArrow(_encode_batches(vocabulary, False), _ENCODED + ", position bigint")
+
+
 def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, text of every row of encoded(doc_id, token_ids): the inverse of bpe_encode.
 
