@@ -63,3 +63,12 @@ def test_nothing_to_mine(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert [tuple(r) for r in u.url_filter(p, none).collect()] == [(1, 0, None, None, False)]
     assert u.url_filter(p.limit(0), none).count() == 0
+
+
+def test_rules_of_any_length(spark):
+    """Only all of five tokens together tell bad urls; each four of them are as often in good ones."""
+    keys = "abcde"
+    urls = [(f"http://h.x/?{'&'.join(keys)}&id{i}", True) for i in range(10)]
+    urls += [(f"http://h.x/?{'&'.join(k for k in keys if k != left)}&id{i}", False) for left in keys for i in range(20)]
+    rules = u.mine_rules(spark.createDataFrame(urls, "url string, bad boolean"), min_support=0.01, min_confidence=0.9, min_count=5).collect()
+    assert [(r.tokens, r.support, r.confidence) for r in rules] == [([f"query={k}" for k in keys], 10, 1.0)]

@@ -21,6 +21,7 @@ from .common import materialize
 MIN_SUPPORT, MIN_COUNT = 0.002, 5
 MIN_CONFIDENCE = 0.4
 MIN_LIFT = 1.25
+#: Longest combination that the SQL of oracles.py enumerates; mining itself has no limit.
 MAX_TOKENS = 4
 BAD, GOOD = "=bad", "=good"
 
@@ -53,8 +54,19 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("bigint").alias("id"), F.col("url").cast("string").alias("url")).join(by_id, F.col("id") == F.col("labelled_id")).select("url", "bad")
 
 
+def _beaten(rules: DataFrame) -> DataFrame:
+    """tokens of the rules(tokens, confidence) of which a smaller part is a rule of no less confidence.
+
+    A part stands under its first token, so a rule meets the parts that begin with one of its
+    tokens, not its 2^n subsets."""
+    part = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"), F.col("tokens")[0].alias("token"))
+    whole = rules.filter(F.size("tokens") > 1).select("tokens", "confidence", F.explode("tokens").alias("token"))
+    within = (F.size("part") < F.size("tokens")) & (F.col("part_confidence") >= F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0)
+    return whole.join(part, "token").filter(within).select("tokens").distinct()
+
+
 def mine_rules(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT, max_tokens: int = MAX_TOKENS
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT, max_tokens: int | None = None
 ) -> DataFrame:
     """(tokens, rarest, support, confidence) of the rules of labelled(url, bad)."""
     spark = labelled.sparkSession
@@ -67,19 +79,16 @@ def mine_rules(
     if share > 1:
         return empty
     sets = FPGrowth(itemsCol="items", minSupport=share, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets.select("items")).freqItemsets
-    sets = sets.filter(F.size("items") <= max_tokens + 1).select(F.sort_array("items").alias("items"), F.col("freq").cast("bigint").alias("freq"))
+    if max_tokens is not None:
+        sets = sets.filter(F.size("items") <= max_tokens + 1)
+    sets = sets.select(F.sort_array("items").alias("items"), F.col("freq").cast("bigint").alias("freq"))
     sets = materialize(sets)
     with_bad = sets.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("support"))
     parts = sets.filter(~F.array_contains("items", BAD) & ~F.array_contains("items", GOOD))
     rules = with_bad.join(parts.withColumnRenamed("items", "tokens"), "tokens").withColumn("confidence", F.col("support") / F.col("freq"))
     rules = rules.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * bad / n)).select("tokens", "support", "confidence")
     rules = materialize(rules)
-    # a rule goes if one of the rules with a token less, or any smaller part that is a rule, is as confident
-    subsets = F.expr("filter(transform(sequence(1, cast(pow(2, size(tokens)) as int) - 2), m -> filter(tokens, (t, i) -> (shiftright(m, i) & 1) = 1)), s -> size(s) > 0)")
-    smaller = rules.filter(F.size("tokens") > 1).select("tokens", "confidence", F.explode(subsets).alias("part"))
-    part = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"))
-    beaten = smaller.join(part, "part").filter(F.col("part_confidence") >= F.col("confidence")).select("tokens").distinct()
-    rules = rules.join(beaten, "tokens", "left_anti")
+    rules = rules.join(_beaten(rules), "tokens", "left_anti")
     single = parts.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rarest = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
     return rules.join(rarest, "tokens").select("tokens", "rarest", "support", "confidence")
