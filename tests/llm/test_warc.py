@@ -84,3 +84,11 @@ def test_round_trip_of_odd_pages(spark):
     want = [(i, u, 200, len(h.encode()), hashlib.md5(h.encode()).hexdigest()) for i, u, h, _ in rows if h is not None]
     assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
     assert warc.pages_through_warc(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("wanted", [True, False])
+def test_one_member_with_many_records_is_an_error(tmp_path, wanted):
+    path = tmp_path / "whole.warc.gz"
+    path.write_bytes(gzip.compress(b"".join(warc.record_bytes(headers(i), c, False) for i, (_, _, c) in enumerate(CONTENTS))))
+    with pytest.raises(ValueError, match="one record"):
+        list(warc.records(str(path), lambda h: wanted, True))

@@ -165,13 +165,18 @@ class _Gzip:
                     return at + struct.unpack("<I", extra[4:8])[0]
                 extra = extra[4 + size :]
         self.f.seek(at)
-        z, taken = zlib.decompressobj(31), 0
+        z, taken, seen, rest = zlib.decompressobj(31), 0, 0, b""
         while not z.eof:
             raw = self.f.read(_READ)
             if not raw:
                 return self.size
             taken += len(raw)
-            z.decompress(raw)
+            got = z.decompress(raw)
+            if seen + len(got) > after + length and len(rest) < 64:
+                rest += got[max(0, after + length - seen) :][:64]
+            seen += len(got)
+        if rest.strip(b"\r\n"):
+            raise ValueError(f"the gzip member at {at} goes on after its first record; a member has to hold one record")
         return at + taken - len(z.unused_data)
 
 
