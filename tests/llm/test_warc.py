@@ -55,7 +55,10 @@ def test_cut_file_ends_at_the_last_whole_record(file):
         raw = f.read()
     with open(file, "wb") as f:
         f.write(raw[: len(raw) - 30])
-    assert 5 <= len(list(warc.records(file, lambda h: True, True))) < len(CONTENTS)
+    for payload in (True, False):
+        rows = list(warc.records(file, lambda h: True, payload))
+        assert [r["type"] for r in rows][-1] == "damaged" and "end" in dict(rows[-1]["headers"])["error"]
+        assert 5 <= len(rows) - 1 < len(CONTENTS) and [r["type"] for r in rows[:-1]] == [c[0] for c in CONTENTS[: len(rows) - 1]]
 
 
 def test_pushed_filters():
@@ -86,9 +89,44 @@ def test_round_trip_of_odd_pages(spark):
     assert warc.pages_through_warc(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
-@pytest.mark.parametrize("wanted", [True, False])
-def test_one_member_with_many_records_is_an_error(tmp_path, wanted):
-    path = tmp_path / "whole.warc.gz"
-    path.write_bytes(gzip.compress(b"".join(warc.record_bytes(headers(i), c, False) for i, (_, _, c) in enumerate(CONTENTS))))
-    with pytest.raises(ValueError, match="one record"):
-        list(warc.records(str(path), lambda h: wanted, True))
+FIVE = [(f"<{i}>", b"x" * (1 << 17) if i == 2 else b"body %d" % i) for i in range(5)]
+
+
+def five(compressed=False, broken=None):
+    parts = [warc.record_bytes([("WARC-Type", "resource"), ("WARC-Record-ID", name)], body, compressed) for name, body in FIVE]
+    return [p.replace(b"WARC/1.0", b"warped!!", 1) if i == broken and not compressed else p for i, p in enumerate(parts)]
+
+
+@pytest.mark.parametrize("payload", [True, False])
+@pytest.mark.parametrize("form", ["plain", "member each", "one member", "two members"])
+@pytest.mark.parametrize("broken", [None, 0, 2, 4])
+def test_damaged_records_are_reported_and_the_others_read(tmp_path, form, broken, payload):
+    parts = five(broken=broken)
+    pack = {"plain": lambda: b"".join(parts), "member each": lambda: b"".join(map(gzip.compress, parts)), "one member": lambda: gzip.compress(b"".join(parts)),
+            "two members": lambda: gzip.compress(b"".join(parts[:2])) + gzip.compress(b"".join(parts[2:]))}[form]
+    path = tmp_path / ("x.warc" if form == "plain" else "x.warc.gz")
+    path.write_bytes(pack())
+    rows = list(warc.records(str(path), lambda h: True, payload))
+    good = [r for r in rows if r["type"] == "resource"]
+    assert [(r["record_id"], r["payload"]) for r in good] == [(n, b if payload else None) for i, (n, b) in enumerate(FIVE) if i != broken]
+    assert [dict(r["headers"])["error"] for r in rows if r["type"] == "damaged"] == ([] if broken is None else ["no version line"])
+    assert [r["record_id"] for r in warc.records(str(path), lambda h: h.get("warc-record-id") == "<3>", payload)] == ["<3>"]
+
+
+def test_broken_gzip_members(tmp_path):
+    parts = five(compressed=True)
+    bad = bytearray(parts[2])
+    bad[60:80] = b"\xff" * 20
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join([*parts[:2], bytes(bad), *parts[3:], b"\0garbage"]))
+    rows = list(warc.records(str(path), lambda h: True, True))
+    assert [r["record_id"] for r in rows] == ["<0>", "<1>", None, "<3>", "<4>", None]
+
+
+def test_damage_through_the_data_source(spark, tmp_path):
+    parts = five(broken=1)
+    (tmp_path / "x.warc").write_bytes(b"".join(parts) + b"WARC/1.0\r\n" + b"a: b\r\n" * 300_000)
+    df = warc.read_warc(spark, [str(tmp_path / "x.warc")])
+    assert sorted(r.record_id for r in df.filter("type = 'resource'").collect()) == ["<0>", "<2>", "<3>", "<4>"]
+    assert sorted(r.headers["error"] for r in df.filter("type = 'damaged'").collect()) == ["no end of the header block", "no version line"]
+    assert df.count() == 6

@@ -6,7 +6,9 @@ record's header block is parsed. The payload of a record that fails is not decod
 plain file it is skipped by its Content-Length, in a gzip file by the compressed length in
 the member's "sl" extra field (WARC 1.0, annex on compression); a member without that field
 has to be inflated to find its end, but is thrown away as it comes. HTTP bodies are unchunked
-and decompressed for wanted records only.
+and decompressed for wanted records only. Damage is reported as rows, see records(). A file is one
+task, for a payload may hold whole records, which a reader that starts in its middle can't tell
+from the file's own; archives are cut into files of about a gigabyte by convention.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ SCHEMA = (
 _HEADER_COLUMNS = {"record_id": "warc-record-id", "type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type"}
 _BATCH_BYTES, _BATCH_ROWS = 4 << 20, 1000
 _READ = 16 << 10
+MAX_HEADER = 1 << 20
 MAX_PARTITION_BYTES = 128 << 20
 
 
@@ -93,124 +96,193 @@ def decode_http(raw: bytes) -> tuple[int | None, bytes]:
 
 
 class _Plain:
-    """Record access in an uncompressed file."""
+    """The bytes of an uncompressed file, from a place that only moves forward."""
 
     def __init__(self, f):
-        self.f, self.size = f, f.size()
-
-    def head(self, at: int) -> tuple[bytes, int] | None:
-        """The header block at an offset and the offset after it."""
-        self.f.seek(at)
-        got = b""
-        while b"\r\n\r\n" not in got:
-            more = self.f.read(_READ)
-            if not more:
-                return None
-            got += more
-        end = got.index(b"\r\n\r\n")
-        return got[:end], at + end + 4
-
-    def content(self, at: int, after: int, length: int) -> bytes | None:
-        self.f.seek(after)
-        raw = self.f.read(length)
-        return raw if len(raw) == length else None
-
-    def following(self, at: int, after: int, length: int) -> int:
-        return after + length + 4
+        self.f, self.size, self.at, self.held = f, f.size(), 0, b""
+        f.seek(0)
+
+    @property
+    def offset(self) -> int:
+        return self.at
+
+    @property
+    def ended(self) -> bool:
+        return self.at >= self.size
+
+    problem = "the file ends inside a record"
+
+    def peek(self, n: int) -> bytes:
+        """At least n of the bytes ahead, fewer at the end only."""
+        while len(self.held) < n and (more := self.f.read(max(_READ, n - len(self.held)))):
+            self.held += more
+        return self.held
+
+    def skip(self, n: int, whole: bool = False) -> bool:
+        """Goes on by n bytes; false if there are fewer."""
+        there = self.at + n <= self.size
+        if n < len(self.held):
+            self.held = self.held[n:]
+        else:
+            self.held = b""
+            self.f.seek(min(self.size, self.at + n))
+        self.at = min(self.size, self.at + n)
+        return there
+
+    def resume(self) -> None:
+        """Goes on to the next line that begins like a record, or to the end."""
+        self.skip(1)
+        while not self.ended:
+            ahead = self.peek(_READ)
+            found = ahead.find(b"\nWARC/")
+            if found >= 0:
+                self.skip(found + 1)
+                return
+            self.skip(max(1, len(ahead) - 5))
 
 
 class _Gzip:
-    """Record access in a file with one gzip member a record."""
+    """The same for a file of gzip members, whether a member holds one record or many; offset is that of the member."""
 
     def __init__(self, f):
         self.f, self.size = f, f.size()
+        self._open(0)
 
-    def _inflate(self, at: int, until: Callable[[bytes], bool]) -> tuple[bytes, int | None]:
-        """Output of the member at an offset until a condition holds, and the member's end if it was reached."""
+    def _open(self, at: int) -> None:
+        self.offset, self.read_to, self.inner, self.first = at, at, 0, b""
+        self.z, self.held, self.problem = zlib.decompressobj(31), bytearray(), ""
         self.f.seek(at)
-        z, out, taken = zlib.decompressobj(31), bytearray(), 0
-        while not z.eof:
-            raw = self.f.read(_READ)
-            if not raw:
-                raise EOFError
-            taken += len(raw)
-            out += z.decompress(raw)
-            if not z.eof and until(out):
-                return bytes(out), None
-        return bytes(out), at + taken - len(z.unused_data)
-
-    def head(self, at: int) -> tuple[bytes, int] | None:
-        try:
-            out, _ = self._inflate(at, lambda got: b"\r\n\r\n" in got)
-        except (EOFError, zlib.error):
-            return None
-        end = out.find(b"\r\n\r\n")
-        return (out[:end], end + 4) if end >= 0 else None
 
-    def content(self, at: int, after: int, length: int) -> bytes | None:
-        try:
-            out, _ = self._inflate(at, lambda got: len(got) >= after + length)
-        except (EOFError, zlib.error):
-            return None
-        return out[after : after + length] if len(out) >= after + length else None
+    @property
+    def ended(self) -> bool:
+        while self.offset < self.size and not self.problem and not self.peek(1):
+            if self.z.eof:
+                self._open(self.read_to - len(self.z.unused_data))
+        return self.offset >= self.size
 
-    def following(self, at: int, after: int, length: int) -> int:
-        self.f.seek(at)
-        start = self.f.read(12)
-        if len(start) == 12 and start[3] & 4:
-            extra = self.f.read(struct.unpack("<H", start[10:12])[0])
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and not self.z.eof and not self.problem:
+            raw = self.f.read(_READ)
+            self.first = self.first or raw
+            self.read_to += len(raw)
+            try:
+                if not raw:
+                    raise zlib.error("the file ends inside a gzip member")
+                self.held += self.z.decompress(raw)
+            except zlib.error as e:
+                self.problem = str(e)
+        return self.held
+
+    def _lengths(self) -> tuple[int, int] | None:
+        """Compressed and plain length of the member, if its "sl" extra field has them."""
+        start = self.first
+        if len(start) >= 12 and start[3] & 4:
+            extra = start[12 : 12 + struct.unpack("<H", start[10:12])[0]]
             while len(extra) >= 4:
                 size = struct.unpack("<H", extra[2:4])[0]
                 if extra[:2] == b"sl" and size >= 8:
-                    return at + struct.unpack("<I", extra[4:8])[0]
+                    return struct.unpack("<II", extra[4:12])
                 extra = extra[4 + size :]
-        self.f.seek(at)
-        z, taken, seen, rest = zlib.decompressobj(31), 0, 0, b""
-        while not z.eof:
-            raw = self.f.read(_READ)
-            if not raw:
-                return self.size
-            taken += len(raw)
-            got = z.decompress(raw)
-            if seen + len(got) > after + length and len(rest) < 64:
-                rest += got[max(0, after + length - seen) :][:64]
-            seen += len(got)
-        if rest.strip(b"\r\n"):
-            raise ValueError(f"the gzip member at {at} goes on after its first record; a member has to hold one record")
-        return at + taken - len(z.unused_data)
+        return None
+
+    def skip(self, n: int, whole: bool = False) -> bool:
+        """whole: n bytes are a record, so that a member known to hold no more is left without inflating it."""
+        if whole and not self.inner and n > len(self.held) and (lengths := self._lengths()) and lengths[1] == (n + 4) & 0xFFFFFFFF and self.offset + lengths[0] <= self.size:
+            self._open(self.offset + lengths[0])
+            return True
+        self.inner += n
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held.clear()
+            if not self.peek(1):
+                return False
+        del self.held[:n]
+        return True
+
+    def resume(self) -> None:
+        self.skip(1)
+        while not self.problem and (ahead := self.peek(_READ)):
+            found = ahead.find(b"\nWARC/")
+            if found >= 0:
+                self.skip(found + 1)
+                return
+            self.skip(max(1, len(ahead) - 5))
+        if not self.problem:
+            self._open(self.read_to - len(self.z.unused_data))
+            return
+        at, tail = self.offset + 1, b""
+        while at < self.size:  # the rest of a broken member can't be told from others but by trying
+            self.f.seek(at)
+            chunk = self.f.read(1 << 20)
+            found = chunk.find(b"\x1f\x8b\x08")
+            if found < 0:
+                at += max(1, len(chunk) - 2)
+                continue
+            self._open(at + found)
+            if self.peek(5)[:5] == b"WARC/":
+                return
+            at += found + 1
+        self._open(self.size)
 
 
 def records(path: str, wanted: Callable[[dict[str, str]], bool], payload: bool, decoded: list[int] | None = None) -> Iterator[dict]:
-    """The records of a file whose headers are wanted. A file that is broken or cut off ends at its last whole record."""
+    """The records of a file whose headers are wanted.
+
+    What is no whole record (another version line, no length, a header block of over
+    MAX_HEADER bytes, a broken gzip member, a cut end) becomes one row of type "damaged" with
+    the reason in headers["error"], and reading goes on at the next line, or gzip member,
+    that begins like a record. Such rows are wanted or not like others, by their type.
+    """
     fs, name = _filesystem(path)
     with fs.open_input_file(name) as f:
         magic = f.read(2)
         reader = _Gzip(f) if magic == b"\x1f\x8b" else _Plain(f)
-        at = 0
-        while at < reader.size:
-            found = reader.head(at)
-            if not found:
-                return
-            first, fields = _parse_block(found[0])
-            headers = dict(fields)
-            if not first.startswith("WARC/") or not headers.get("content-length", "").isdigit():
-                return
-            length = int(headers["content-length"])
-            if wanted(headers):
-                row = {"path": path, "offset": at, "headers": fields, "http_status": None, "payload_length": length, "payload": None}
-                row |= {column: headers.get(header) for column, header in _HEADER_COLUMNS.items()}
-                if payload:
-                    raw = reader.content(at, found[1], length)
-                    if raw is None:
-                        return
-                    if decoded is not None:
-                        decoded.append(at)
-                    if headers.get("content-type", "").lower().startswith("application/http"):
-                        row["http_status"], raw = decode_http(raw)
-                        row["payload_length"] = len(raw)
-                    row["payload"] = raw
-                yield row
-            at = reader.following(at, found[1], length)
+        while not reader.ended:
+            ahead = reader.peek(1)
+            blank = len(ahead) - len(ahead.lstrip(b"\r\n\0"))
+            if blank:
+                reader.skip(blank)
+                continue
+            at, error, end = reader.offset, "", -1
+            for n in (_READ, *(MAX_HEADER >> k for k in (4, 2, 0))):
+                ahead = reader.peek(n) if end < 0 else ahead
+                end = ahead.find(b"\r\n\r\n") if end < 0 else end
+            if end < 0:
+                error = reader.problem if len(ahead) < MAX_HEADER else "no end of the header block"
+                error = error or "no end of the header block"
+            else:
+                first, fields = _parse_block(bytes(ahead[:end]))
+                headers = dict(fields)
+                if not first.startswith("WARC/"):
+                    error = "no version line"
+                elif not headers.get("content-length", "").isdigit():
+                    error = "no content length"
+            if not error:
+                length = int(headers["content-length"])
+                row = None
+                if wanted(headers):
+                    row = {"path": path, "offset": at, "headers": fields, "http_status": None, "payload_length": length, "payload": None}
+                    row |= {column: headers.get(header) for column, header in _HEADER_COLUMNS.items()}
+                    if payload and len(ahead := reader.peek(end + 4 + length)) >= end + 4 + length:
+                        raw = bytes(ahead[end + 4 : end + 4 + length])
+                        if decoded is not None:
+                            decoded.append(at)
+                        if headers.get("content-type", "").lower().startswith("application/http"):
+                            row["http_status"], raw = decode_http(raw)
+                            row["payload_length"] = len(raw)
+                        row["payload"] = raw
+                if reader.skip(end + 4 + length, whole=True):
+                    if row:
+                        yield row
+                    continue
+                error = reader.problem or "the gzip member ends inside a record"
+            reader.resume()
+            yield from _damaged(path, at, error, wanted)
+
+
+def _damaged(path: str, at: int, error: str, wanted: Callable[[dict[str, str]], bool]) -> Iterator[dict]:
+    if wanted({"warc-type": "damaged", "error": error}):
+        yield dict.fromkeys(_HEADER_COLUMNS) | {"path": path, "offset": at, "type": "damaged", "headers": [("error", error)], "http_status": None, "payload_length": None, "payload": None}
 
 
 class Files(ds.InputPartition):
@@ -314,9 +386,13 @@ def register(spark: SparkSession) -> None:
 
 
 def read_warc(spark: SparkSession, paths: list[str], payload: bool = True, **options: str) -> DataFrame:
-    """The records of WARC files and folders: see SCHEMA. No file, or files without records, give an empty table."""
+    """The records of WARC files and folders: see SCHEMA. No file, or files without records, give an empty table.
+
+    Spark keeps the reader of a table for its next plan unless that plan has a filter to push
+    down, so predicates of one query would stay in force in the next one over the same
+    DataFrame; the filter that is always true makes every plan ask for a new reader."""
     register(spark)
-    return spark.read.format("warc").option("paths", json.dumps(paths)).option("payload", str(payload).lower()).options(**options).load()
+    return spark.read.format("warc").option("paths", json.dumps(paths)).option("payload", str(payload).lower()).options(**options).load().filter("offset >= 0")
 
 
 def record_bytes(headers: list[tuple[str, str]], content: bytes, compressed: bool = True) -> bytes:
