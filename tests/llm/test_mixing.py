@@ -11,6 +11,7 @@ def brute_force(rows, schedule, knots, budget):
     supply = {}
     for _, s, t in rows:
         supply[s] = supply.get(s, 0) + count(t)
+    silent = {s for s, n in supply.items() if not n and (not schedule or max(schedule.get(s, [0])) > 0)}
     supply = {s: n for s, n in supply.items() if n}
     weights = {s: schedule.get(s, [0.0] * len(knots)) if schedule else None for s in supply}
     if not schedule:
@@ -31,7 +32,7 @@ def brute_force(rows, schedule, knots, budget):
 
     if budget is None:
         budget = max(supply[s] / drawn(s, 1) for s in supply if drawn(s, 1) > 0)
-    out = []
+    out = [(i, s, 0, 0, 0.0) for i, s, _ in rows if s in silent]
     for s in supply:
         demand = round(budget * drawn(s, 1))
         own = sorted((int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:15], 16), i, t) for i, s2, t in rows if s2 == s)
@@ -49,12 +50,12 @@ def brute_force(rows, schedule, knots, budget):
     return sorted(out, key=lambda r: (r[1] or "", r[0], r[3])), budget
 
 
-ROWS = [(i, ["a", "b", None][(i % 7) % 3], None if i == 20 else " ".join(["w"] * (i * 37 % 50))) for i in range(120)]
+ROWS = [(i, ["a", "b", None][(i % 7) % 3], None if i == 20 else " ".join(["w"] * (i * 37 % 50))) for i in range(120)] + [(200, "silent", None), (201, "silent", " ")]
 
 
 @pytest.mark.parametrize(
     "schedule, knots, budget",
-    [(None, x.KNOTS, None), (None, x.KNOTS, 1000), ({"a": [1, 0], "b": [0, 1]}, (0.0, 1.0), 2500), ({"a": [1, 5, 0.5, 2], None: [3, 0, 0, 1]}, (0.0, 0.2, 0.9, 1.0), None)],
+    [(None, x.KNOTS, None), (None, x.KNOTS, 1000), ({"a": [1, 0], "b": [0, 1], "silent": [5, 5]}, (0.0, 1.0), 2500), ({"a": [1, 5, 0.5, 2], None: [3, 0, 0, 1]}, (0.0, 0.2, 0.9, 1.0), None)],
 )
 def test_against_bisection(spark, schedule, knots, budget):
     docs = spark.createDataFrame([(i, s, t, 0.5) for i, s, t in ROWS], "doc_id bigint, source string, text string, position double")
@@ -80,14 +81,14 @@ def test_shares_follow_the_schedule(spark):
 def test_mix_carries_rows_in_order(spark, small, monkeypatch):
     if not small:
         monkeypatch.setattr(x, "fits_broadcast", lambda rows, size: False)
-    rows = [(i, s, t, f"extra {i}") for i, s, t in ROWS] + [(7, ROWS[7][1], ROWS[7][2], "extra 7"), (None, "b", "x y", "none"), (500, "c", "", "lost"), (501, "c", None, "lost")]
+    rows = [(i, s, t, f"extra {i}") for i, s, t in ROWS] + [(7, ROWS[7][1], ROWS[7][2], "extra 7"), (None, "b", "x y", "none"), (500, "c", "", "extra 500"), (501, "c", None, "extra 501")]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, tokens string")
     plan = [(r.doc_id, r.source) for r in x.mix_plan(docs).collect()]
     out = x.mix(docs)
     assert out.columns == docs.columns
     got = out.collect()
     assert sorted(((r.doc_id, r.source) for r in got), key=str) == sorted(plan, key=str)
-    assert {r.doc_id for r in got} == {r[0] for r in rows} - {500, 501}
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
     position = {}
     for k, p in enumerate(plan):
         position.setdefault(p, []).append(k)
@@ -99,5 +100,7 @@ def test_mix_carries_rows_in_order(spark, small, monkeypatch):
 def test_nothing_to_mix(spark):
     docs = spark.createDataFrame([], "doc_id bigint, source string, text string")
     assert x.mix_plan(docs).count() == 0 and x.mix(docs).count() == 0
+    only = spark.createDataFrame([(1, "a", None), (2, None, "")], "doc_id bigint, source string, text string")
+    assert sorted(tuple(r) for r in x.mix_plan(only).collect()) == [(1, "a", 0, 0, 0.0), (2, None, 0, 0, 0.0)] and x.mix(only).count() == 2
     with pytest.raises(ValueError):
         x.mix_plan(docs, knots=(0.0, 0.5))

@@ -46,16 +46,17 @@ def source_demand(
     temperatures: Sequence[float] = TEMPERATURES,
     budget: int | None = None,
 ) -> DataFrame:
-    """One row for each source of rows(source, tokens): supply, demand, budget, and the shares q0.. and integrals i0.. at the knots."""
+    """One row for each source of rows(source, tokens): supply, demand, budget, the shares q0.. and integrals i0.. at the knots,
+    and listed, whether the schedule gives the source any weight. Sources without tokens have no share."""
     m = len(knots)
     if m < 2 or knots[0] != 0 or knots[-1] != 1 or any(b <= a for a, b in zip(knots, knots[1:])):
         raise ValueError("knots must rise from 0 to 1")
-    s = rows.groupBy("source").agg(F.sum("tokens").alias("supply")).filter("supply > 0")
+    s = rows.groupBy("source").agg(F.sum("tokens").alias("supply"))
     everything = Window.partitionBy()
     if schedule is None:
         if len(temperatures) != m:
             raise ValueError("one temperature for each knot")
-        p = F.col("supply") / F.sum("supply").over(everything)
+        p = F.coalesce(F.try_divide("supply", F.sum("supply").over(everything)), F.lit(0.0))
         weights = [F.pow(p, F.lit(float(x))) for x in temperatures]
     else:
         if any(len(v) != m or min(v) < 0 for v in schedule.values()):
@@ -66,9 +67,10 @@ def source_demand(
             for name, values in schedule.items():
                 w = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(values[j]))).otherwise(w)
             weights.append(w)
-    s = s.select("source", "supply", *[w.alias(f"w{j}") for j, w in enumerate(weights)])
+    listed = F.lit(True) if schedule is None else F.greatest(*weights) > 0
+    s = s.select("source", "supply", listed.alias("listed"), *[F.when(F.col("supply") > 0, w).otherwise(0.0).alias(f"w{j}") for j, w in enumerate(weights)])
     total = [F.sum(f"w{j}").over(everything) for j in range(m)]
-    s = s.select("source", "supply", *[F.when(total[j] > 0, F.col(f"w{j}") / total[j]).otherwise(0.0).alias(f"q{j}") for j in range(m)])
+    s = s.select("source", "supply", "listed", *[F.when(total[j] > 0, F.col(f"w{j}") / total[j]).otherwise(0.0).alias(f"q{j}") for j in range(m)])
     integral, columns = F.lit(0.0), []
     for j in range(m):
         if j:
@@ -106,8 +108,8 @@ def training_positions(
 
     node = xxhash64(doc_id, text). A null source is a source of its own. Rows without any
     token (null, empty) want no tokens and are drawn once, at the place of the next document
-    in the order; those of a source without any token, or of one that the schedule leaves
-    out, are not drawn. Repeated rows and ties of the hash order follow each other; equal
+    in the order, or at position 0 if their source has no token at all; those of a source that
+    the schedule leaves out are not drawn. Texts are counted whole, whatever their length. Repeated rows and ties of the hash order follow each other; equal
     rows are interchangeable. Other columns are not read; an empty table gives none.
     """
     rows = docs.select(
@@ -124,11 +126,12 @@ def training_positions(
     within = rows.withColumn("within", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
     placed = within.join(per_bucket, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket")))
     start = F.col("offset") + F.col("within")
-    times = F.when(F.col("tokens") > 0, F.ceil((F.col("demand") - start) / F.col("supply"))).when(start <= F.col("demand"), 1).otherwise(0)
-    placed = placed.withColumn("start", start).withColumn("times", times.cast("bigint")).filter("times > 0 and demand > 0")
+    times = F.when(F.col("tokens") > 0, F.ceil((F.col("demand") - start) / F.col("supply"))).when((start <= F.col("demand")) | (F.col("supply") == 0), 1).otherwise(0)
+    placed = placed.withColumn("start", start).withColumn("times", times.cast("bigint")).filter("times > 0 and listed and (demand > 0 or supply = 0)")
     placed = placed.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1)))
-    t = invert_demand((F.col("start") + F.col("pass") * F.col("supply")) / F.col("budget"), knots)
-    return placed.withColumn("t", t).select("doc_id", "source", "tokens", "pass", "t", (F.col("t") * F.col("budget")).alias("position"), "node")
+    budget_of_row = F.coalesce("budget", F.lit(0.0))  # null if no source has a token
+    t = invert_demand(F.coalesce(F.try_divide(F.col("start") + F.col("pass") * F.col("supply"), budget_of_row), F.lit(0.0)), knots)
+    return placed.withColumn("t", t).select("doc_id", "source", "tokens", "pass", "t", (F.col("t") * budget_of_row).alias("position"), "node")
 
 
 def mix_plan(docs: DataFrame, **options) -> DataFrame:
@@ -140,7 +143,11 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the plan draws them, in the order of their positions, all columns as they are."""
+    """The rows of docs as often as the plan draws them, in the order of their positions, all columns as they are.
+
+    Defined cases as in training_positions: null and empty texts are drawn once, equal rows each
+    as often as the plan says, ties are in order of source and doc_id; an empty table gives none.
+    Columns of any other name are carried along."""
     node, at = "__mix_node__", "__mix_position__"
     plan = training_positions(docs, **options)
     # equal rows have one entry with all their positions, so that a join doesn't multiply them

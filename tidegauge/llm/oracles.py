@@ -13,8 +13,8 @@ WARC = """
 def _mixing() -> str:
     knots, temperatures = mixing.KNOTS, mixing.TEMPERATURES
     m = len(knots)
-    shares = ", ".join(f"pow(supply / total, CAST({t} AS DOUBLE)) AS w{j}" for j, t in enumerate(temperatures))
-    normal = ", ".join(f"w{j} / sum(w{j}) OVER () AS q{j}" for j in range(m))
+    shares = ", ".join(f"coalesce(pow(supply / nullif(total, 0), CAST({t} AS DOUBLE)), 0) AS w{j}" for j, t in enumerate(temperatures))
+    normal = ", ".join(f"coalesce(w{j} / nullif(sum(w{j}) OVER (), 0), 0) AS q{j}" for j in range(m))
     area, integrals = "CAST(0 AS DOUBLE)", []
     for j in range(m):
         if j:
@@ -32,18 +32,18 @@ def _mixing() -> str:
             CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key FROM documents
     ),
     placed AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM rows),
-    supplies AS (SELECT source, sum(tokens) AS supply FROM rows GROUP BY source HAVING sum(tokens) > 0),
+    supplies AS (SELECT source, sum(tokens) AS supply FROM rows GROUP BY source),
     weights AS (SELECT source, supply, {shares} FROM (SELECT *, sum(supply) OVER () AS total FROM supplies)),
     shares AS (SELECT source, supply, {normal} FROM weights),
     areas AS (SELECT *, {', '.join(integrals)} FROM shares),
-    budgets AS (SELECT *, max(supply / i{m - 1}) OVER () AS budget FROM areas),
+    budgets AS (SELECT *, coalesce(max(supply / nullif(i{m - 1}, 0)) OVER (), 0) AS budget FROM areas),
     demands AS (SELECT *, CAST(round(budget * i{m - 1}) AS BIGINT) AS demand FROM budgets),
     counted AS (
-        SELECT p.doc_id, p.tokens, p.start, d.*, CASE WHEN tokens > 0 THEN CAST(ceil((demand - start) / supply) AS BIGINT) WHEN start <= demand THEN 1 ELSE 0 END AS times
+        SELECT p.doc_id, p.tokens, p.start, d.*, CASE WHEN tokens > 0 THEN CAST(ceil((demand - start) / supply) AS BIGINT) WHEN start <= demand OR supply = 0 THEN 1 ELSE 0 END AS times
         FROM placed p JOIN demands d ON p.source IS NOT DISTINCT FROM d.source
     ),
     drawn AS (SELECT *, unnest(range(times)) AS pass FROM counted WHERE times > 0),
-    located AS (SELECT *, (start + pass * supply) / budget AS target FROM drawn)
+    located AS (SELECT *, coalesce((start + pass * supply) / nullif(budget, 0), 0) AS target FROM drawn)
     SELECT doc_id, source, tokens, pass, round({t} * budget, 3) AS position FROM located
     """
 
