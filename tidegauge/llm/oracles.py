@@ -52,26 +52,26 @@ def _url_rules() -> str:
     named = lambda name, values: f"list_transform(list_filter({values}, lambda v: v <> ''), lambda v: '{name}=' || v)"
     part = lambda k: f"regexp_extract(low, '{url_rules._URL}', {k})"
     everything = " || ".join([
-        named("scheme", "[p1]"), named("label", "string_split(p2, '.')"), named("word", "regexp_split_to_array(p2, '[._-]')"),
-        named("domain", "CASE WHEN len(string_split(p2, '.')) > 1 THEN [array_to_string(string_split(p2, '.')[-2:], '.')] ELSE [''] END"),
+        named("scheme", "[p1]"), named("label", "CASE WHEN len(parts) > 1 THEN parts[1:len(parts) - 2] ELSE parts END"),
+        named("word", "flatten(list_transform(list_filter(parts, lambda v: regexp_matches(v, '[-_]')), lambda v: regexp_split_to_array(v, '[-_]')))"),
+        named("domain", "CASE WHEN len(parts) > 1 THEN [array_to_string(parts[-2:], '.')] ELSE [''] END"), named("top", "CASE WHEN len(parts) > 1 THEN parts[-1:] ELSE [''] END"),
         named("path", "string_split(regexp_replace(p3, '[0-9]+', '#', 'g'), '/')"), named("ending", "[regexp_extract(p3, '\\.([a-z0-9]{1,5})$', 1)]"),
         named("query", "list_transform(regexp_split_to_array(p4, '[&;]'), lambda q: regexp_extract(q, '^([^=]*)', 1))"), named("fragment", "[regexp_replace(p5, '[0-9]+', '#', 'g')]"),
     ])
-    grow = "\n".join(
-        f"        , c{k} AS (SELECT c.url_id, c.bad, list_append(c.toks, t.tok) AS toks, t.i FROM c{k - 1} c JOIN t ON c.url_id = t.url_id AND t.i > c.i)" for k in range(2, url_rules.MAX_TOKENS + 1)
-    )
-    union = " UNION ALL ".join(f"SELECT toks, bad FROM c{k}" for k in range(1, url_rules.MAX_TOKENS + 1))
     return f"""
-    WITH low AS (SELECT page_id, url, lower(coalesce(url, '')) AS low FROM pages),
-    parts AS (SELECT page_id, url, {', '.join(f'{part(k)} AS p{k}' for k in range(1, 6))} FROM low),
-    tokens AS (SELECT page_id, url, list_sort(list_distinct({everything})) AS have FROM parts),
+    WITH RECURSIVE low AS (SELECT page_id, url, lower(coalesce(url, '')) AS low FROM pages),
+    cut AS (SELECT page_id, url, {', '.join(f'{part(k)} AS p{k}' for k in range(1, 6))} FROM low),
+    tokens AS (SELECT page_id, url, list_sort(list_distinct({everything})) AS have FROM (SELECT *, string_split(p2, '.') AS parts FROM cut)),
     verdicts AS (SELECT doc_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
     labelled AS (SELECT row_number() OVER () AS url_id, have, bad FROM tokens JOIN verdicts ON page_id = doc_id),
     size AS (SELECT count(*) AS n, count(*) FILTER (WHERE bad) AS n_bad, ceil(count(*) * greatest({url_rules.MIN_SUPPORT}, {url_rules.MIN_COUNT - 0.5} / count(*))) AS least FROM labelled),
-    t AS (SELECT url_id, bad, unnest(have) AS tok, unnest(range(len(have))) AS i FROM labelled),
-    c1 AS (SELECT url_id, bad, [tok] AS toks, i FROM t)
-{grow},
-    sets AS (SELECT toks, count(*) AS freq, count(*) FILTER (WHERE bad) AS support FROM ({union}) GROUP BY toks),
+    listed AS (SELECT url_id, bad, unnest(have) AS tok FROM labelled),
+    telling AS (SELECT min(tok) AS tok FROM (SELECT tok, list(url_id ORDER BY url_id) AS ids, count(*) AS held FROM listed GROUP BY tok), size WHERE held >= least GROUP BY ids),
+    t AS (SELECT url_id, bad, tok FROM listed WHERE tok IN (SELECT tok FROM telling)),
+    combined AS (
+        SELECT url_id, bad, [tok] AS toks FROM t UNION ALL SELECT c.url_id, c.bad, list_append(c.toks, t.tok) FROM combined c JOIN t ON c.url_id = t.url_id AND t.tok > c.toks[-1]
+    ),
+    sets AS (SELECT toks, count(*) AS freq, count(*) FILTER (WHERE bad) AS support FROM combined GROUP BY toks),
     confident AS (
         SELECT toks, support, support / freq AS confidence FROM sets, size
         WHERE support >= least AND support / freq >= {url_rules.MIN_CONFIDENCE} AND support / freq >= {url_rules.MIN_LIFT} * n_bad / n
