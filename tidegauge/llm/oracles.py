@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, url_rules
+from . import ann, mixing, url_rules
 
 WARC = """
     SELECT page_id, url, 200 AS http_status, octet_length(encode(html)) AS n_bytes, md5(html) AS digest
@@ -10,6 +10,18 @@ WARC = """
 """
 
 
+NEIGHBOURS = f"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE len(embedding) = {ann.DIMENSIONS}),
+    units AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+    pairs AS (
+        SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_inner_product(a.e, b.e) / (a.norm * b.norm), 5) AS similarity
+        FROM units a JOIN units b ON a.vec_id <> b.vec_id WHERE a.norm > 0 AND b.norm > 0 AND isfinite(a.norm) AND isfinite(b.norm)
+    ),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour_id) AS INT) AS rank FROM pairs)
+    SELECT e.vec_id, r.rank, r.neighbour_id, r.similarity FROM embeddings e LEFT JOIN ranked r ON e.vec_id = r.vec_id AND r.rank <= {ann.NEIGHBOURS}
+"""
+
+
 def _mixing() -> str:
     knots, temperatures = mixing.KNOTS, mixing.TEMPERATURES
     m = len(knots)
@@ -89,4 +101,4 @@ def _url_rules() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": _url_rules(), "op6_mixing": _mixing(), "op8_warc": WARC}
+    return {"op3_url_rules": _url_rules(), "op6_mixing": _mixing(), "op8_warc": WARC, "op9_ann": NEIGHBOURS}

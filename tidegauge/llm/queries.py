@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .ann import nearest_neighbours
+from .ann import neighbour_rows
 from .bpe import bpe_round_trip
 from .common import table
 from .ctw import ctw_scores
@@ -55,7 +55,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+    return neighbour_rows(table(spark, sf_dir, "embeddings"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
