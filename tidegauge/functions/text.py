@@ -92,5 +92,18 @@ def strip_code_fence(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
 
 
+def named_uuid(name: Column) -> Column:
+    """The UUID of a name: MD5 in the form of version 3 (without name space), the same in every attempt of a task."""
+    h = F.md5(name)
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    part = lambda at, n: F.substring(h, at, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-3"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def random_uuid() -> Column:
+    """A random UUID for each row, another one whenever the row is computed: write it out before it is used twice."""
+    return F.uuid()
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)

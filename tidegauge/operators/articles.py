@@ -55,9 +55,12 @@ def source_not_found(sources: DataFrame, name: str) -> DataFrame:
 
 
 def importable(candidates: DataFrame, stored: DataFrame) -> DataFrame:
-    """Candidates (url, headline, excerpt, ...) whose url and content are stored neither yet nor twice among themselves; the least url of equal contents stays."""
+    """Candidates (url, headline, excerpt, ...) whose url and content are stored neither yet nor twice among themselves.
+
+    Of several candidates with one url the one of the least content hash stays; then, of equal contents, the least url."""
     hashed = candidates.withColumn("content_hash", content_hash(F.concat_ws("\n", "headline", "excerpt")))
-    one = hashed.groupBy("content_hash").agg(F.min_by(F.struct(*candidates.columns), "url").alias("a")).select("content_hash", "a.*")
+    by_url = hashed.groupBy("url").agg(F.min_by(F.struct(*[c for c in hashed.columns if c != "url"]), "content_hash").alias("a")).select("url", "a.*")
+    one = by_url.groupBy("content_hash").agg(F.min_by(F.struct(*candidates.columns), "url").alias("a")).select("content_hash", "a.*")
     return one.join(stored.select("url"), "url", "left_anti").join(stored.select("content_hash"), "content_hash", "left_anti")
 
 
@@ -67,6 +70,16 @@ def due_sources(sources: DataFrame, now: Column) -> DataFrame:
     return sources.filter(F.col("is_active") & (F.col("last_fetched_at").isNull() | (next_fetch <= F.unix_micros(now))))
 
 
+def settle(articles: DataFrame, links: DataFrame) -> DataFrame:
+    """Articles with the status that links(article_id, relation_type) to events give the new ones: duplicate if every
+    link says so, processed if one doesn't, ignored without any. Statuses other than new stay."""
+    linked = links.groupBy(F.col("article_id").alias("_article")).agg(F.bool_and(F.col("relation_type") == "duplicate").alias("_duplicate"))
+    joined = articles.join(linked, articles["id"] == F.col("_article"), "left")
+    settled = F.when(F.col("_article").isNull(), "ignored").when(F.col("_duplicate"), "duplicate").otherwise("processed")
+    keep = [c for c in articles.columns if c != "status"]
+    return joined.select(*keep, F.when(F.col("status") == "new", settled).otherwise(F.col("status")).alias("status"))
+
+
 def stale_articles(articles: DataFrame, now: Column, hours: float) -> DataFrame:
     """New articles that nothing has happened to for so many hours."""
     return articles.filter((F.col("status") == "new") & (F.unix_micros("updated_at") < F.unix_micros(now) - F.lit(int(hours * 3.6e9))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.numbers import current_impact, round2
 from ..functions.text import headline_key
 
 
@@ -119,6 +120,21 @@ def backed_confidence(confidence: Column, source_count: Column) -> Column:
     return F.lit(1.0) - (F.lit(1.0) - confidence) / F.pow(F.lit(2.0), (source_count - 1).cast("double"))
 
 
+def candidates(features: DataFrame, minimum: int = 1) -> DataFrame:
+    """The articles of keyword_features that look like a meaningful event."""
+    return features.filter(is_candidate(F.col("negative_hits"), F.col("positive_hits"), minimum))
+
+
+def reinforced(events: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
+    """events(event_id, impact, decay_rate) with current_impact, the decay counted from the newest of updates(event_id, at).
+
+    Ours: no formula is given. New information sets the clock back and leaves impact and rate as they are; an event
+    without update isn't returned."""
+    newest = updates.groupBy("event_id").agg(F.max("at").alias("last_at"))
+    hours = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_at").cast("timestamp"))) / F.lit(3.6e9)
+    return events.join(newest, "event_id").withColumn("current_impact", round2(current_impact(F.col("impact"), F.col("decay_rate"), hours)))
+
+
 def is_candidate(negative_hits: Column, positive_hits: Column, minimum: int = 1) -> Column:
     """Whether an article looks like a meaningful event: at least so many keyword hits."""
     return negative_hits + positive_hits >= minimum

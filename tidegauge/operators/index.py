@@ -86,6 +86,24 @@ def history_by(snapshots: DataFrame, interval: str) -> DataFrame:
     return grouped.select("bucket", "current_index", round2(F.col("_change")).alias("change"), "points")
 
 
+def chart_points(history: DataFrame, width: float = 720.0, height: float = 240.0) -> DataFrame:
+    """The line of history(snapshot_at, current_index), some hundred rows at most, on a canvas: label, value, and x, y from the top left."""
+    order, everything = Window.orderBy("snapshot_at"), Window.partitionBy()
+    v, low, high = F.col("current_index"), F.min("current_index").over(everything), F.max("current_index").over(everything)
+    n = F.count("*").over(everything)
+    x = (F.row_number().over(order) - 1) / F.greatest(n - 1, F.lit(1)) * F.lit(width)
+    y = F.when(high > low, F.lit(height) - (v - low) / (high - low) * F.lit(height)).otherwise(F.lit(height / 2))
+    return history.select("snapshot_at", F.date_format("snapshot_at", "HH:mm").alias("label"), v.alias("value"), F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
+def chart_svg(points: DataFrame, width: float = 720.0, height: float = 240.0) -> DataFrame:
+    """One row svg: chart_points as a line drawing with the newest value as its title."""
+    placed = F.transform(F.array_sort(F.collect_list(F.struct("snapshot_at", "x", "y"))), lambda p: F.format_string("%.2f,%.2f", p["x"], p["y"]))
+    line = F.array_join(placed, " ")
+    title = F.format_string("%.2f", F.max_by("value", "snapshot_at"))
+    return points.agg(F.concat(F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width:g} {height:g}"><title>'), title, F.lit('</title><polyline fill="none" stroke="#246b88" points="'), line, F.lit('"/></svg>')).alias("svg"))
+
+
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, right_columns: list[str], by: list[str] | None = None, bucket: str = "day") -> DataFrame:
     """Each left row with right_columns of the newest right row (per by) that is strictly older; nulls if there is none.
 

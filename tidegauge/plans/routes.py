@@ -60,5 +60,5 @@ def sources(catalog: DataFrame) -> DataFrame:
 def ingestion(catalog: DataFrame, fetched: DataFrame, source: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Counts of each source asked for, and its articles, before any removal of doubles; unknown names give two empty tables."""
     asked = A.source_named(catalog, source)
-    rows = fetched.join(F.broadcast(asked.select(F.col("name").alias("publisher"))), "publisher", "left_semi")
+    rows = fetched.join(asked.select(F.col("name").alias("publisher")), "publisher", "left_semi")
     return A.counts_by_source(asked, rows), A.listing(rows)

@@ -271,16 +271,18 @@ def validate_scores(spark, d):
     return rows.select("event_id", F.array_join(S.validation_errors(), " ").alias("errors"))
 
 
-_DATES = [
-    ("Wed, 03 Jan 2024 10:20:30 GMT", "2024-01-03 10:20:30"), ("Wed, 3 Jan 2024 10:20:30 -0400", "2024-01-03 14:20:30"), ("2024-01-03T10:20:30Z", "2024-01-03 10:20:30"),
-    ("2024-01-03T10:20:30.250+02:00", "2024-01-03 08:20:30.25"), ("03 Jan 2024 10:20:30 EST", "2024-01-03 15:20:30"), ("yesterday", data.NOW), ("", data.NOW), (None, data.NOW),
-]
-
-
-@query(f"SELECT i, CAST(want AS TIMESTAMP) AS published_at FROM ({_values([(i, w) for i, (_, w) in enumerate(_DATES)])}) AS t(i, want)")
+@query(f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('millisecond', ts) WHEN 3 THEN date_trunc('second', ts)
+    WHEN 4 THEN date_trunc('minute', ts) ELSE {_NOW} END AS published_at FROM events""")
 def pubdate_parse(spark, d):
-    rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(_DATES)], "i int, s string")
-    return rows.select("i", D.parse_published(F.col("s"), data.now().cast("timestamp")).cast("timestamp_ntz").alias("published_at"))
+    """The events' times in the forms that feeds use, and texts that are no time."""
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id") % 7
+    moved = F.date_format(ts - F.expr("interval 4 hours"), "EEE, d MMM yyyy HH:mm:ss")
+    shown = (
+        F.when(k == 0, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).when(k == 1, F.concat(moved, F.lit(" -0400")))
+        .when(k == 2, F.concat(F.date_format(ts + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+02:00"))).when(k == 3, F.concat(F.date_format(ts - F.expr("interval 5 hours"), "dd MMM yyyy HH:mm:ss"), F.lit(" EST")))
+        .when(k == 4, F.concat(F.date_format(ts, "d MMM yyyy HH:mm"), F.lit(" GMT"))).when(k == 5, "yesterday")
+    )
+    return data.read(spark, d, "events").select("event_id", D.parse_published(shown, data.now().cast("timestamp")).cast("timestamp_ntz").alias("published_at"))
 
 
 @query(_ALL + "SELECT url, rationale, CASE WHEN matched THEN '%s' ELSE '%s' END AS note FROM scored" % (config.NOTE_ASSESSED, config.NOTE_FALLBACK))
@@ -391,20 +393,6 @@ def event_lookup(spark, d):
     return _events(spark, d).join(F.broadcast(wanted), "event_id", "left_semi").select("event_id", "title")
 
 
-@query("SELECT name, reliability FROM (VALUES ('BBC World', CAST(0.8 AS DOUBLE))) AS t(name, reliability)")
-def source_lookup_ci(spark, d):
-    from .sources.feeds import source_catalog
-
-    return A.source_named(source_catalog(spark), "bbc WORLD").select("name", "reliability")
-
-
-@query("SELECT 'source_not_found' AS code, 'Source \"x\" not found. Available: Al Jazeera, BBC World, NPR World' AS message")
-def source_not_found(spark, d):
-    from .sources.feeds import source_catalog
-
-    return A.source_not_found(source_catalog(spark), "x")
-
-
 @query(f"SELECT * FROM ({_values([(n, h, 'rss', lang, r, b) for n, _, h, lang, r, b in config.SOURCES])}) AS t(name, homepage_url, source_type, language, reliability, bias_note)")
 def sources_listing(spark, d):
     from .sources.feeds import source_catalog
@@ -617,13 +605,16 @@ def snapshot_change_explained(spark, d):
 
 
 @query(f"""
-    WITH {_ARTICLES}, hashed AS (SELECT url, sha256(headline || chr(10) || excerpt) AS content_hash FROM articles),
-    stored AS (SELECT * FROM hashed WHERE url LIKE '%7'), first AS (SELECT content_hash, min(url) AS url FROM hashed GROUP BY content_hash)
-    SELECT url, content_hash FROM first WHERE url NOT IN (SELECT url FROM stored) AND content_hash NOT IN (SELECT content_hash FROM stored)""")
+    WITH {_ARTICLES}, offered AS (SELECT url, headline, excerpt FROM articles UNION ALL SELECT url, headline, excerpt || ' again' FROM articles WHERE item_ord % 5 = 1),
+    hashed AS (SELECT url, sha256(headline || chr(10) || excerpt) AS content_hash FROM offered), stored AS (SELECT url, sha256(headline || chr(10) || excerpt) AS content_hash FROM articles WHERE url LIKE '%7'),
+    by_url AS (SELECT url, content_hash, row_number() OVER (PARTITION BY url ORDER BY content_hash) AS of_url FROM hashed),
+    by_content AS (SELECT url, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY url) AS of_content FROM by_url WHERE of_url = 1)
+    SELECT url, content_hash FROM by_content WHERE of_content = 1 AND url NOT IN (SELECT url FROM stored) AND content_hash NOT IN (SELECT content_hash FROM stored)""")
 def import_anti_duplicates(spark, d):
     rows = data.articles(spark, d)
     stored = rows.filter("url like '%7'").select("url", X.content_hash(F.concat_ws("\n", "headline", "excerpt")).alias("content_hash"))
-    return A.importable(rows, stored).select("url", "content_hash")
+    again = rows.filter("item_ord % 5 = 1").withColumn("excerpt", F.concat("excerpt", F.lit(" again")))
+    return A.importable(rows.unionByName(again), stored).select("url", "content_hash")
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0 AND (c_nationkey = 0 OR TIMESTAMP '2024-01-01' + to_minutes(c_custkey) + to_minutes(60 * (c_nationkey % 3 + 1)) <= TIMESTAMP '2024-01-01 12:00:00')")
@@ -710,8 +701,10 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def queries() -> dict[str, Query]:
+    from . import served  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: _SQL[name] for name in queries()}

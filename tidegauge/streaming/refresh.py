@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,10 +18,24 @@ from ..plans.pipeline import refresh
 from ..sources import warehouse
 
 
-def refresh_writer(stream: DataFrame, root: str, now_of_batch: Callable[[int], Column], responses: DataFrame | None = None, limit: int | None = config.MAX_ARTICLES) -> DataStreamWriter:
+log = logging.getLogger(__name__)
+
+
+def refresh_writer(
+    stream: DataFrame, root: str, now_of_batch: Callable[[int], Column], responses: DataFrame | None = None, limit: int | None = config.MAX_ARTICLES, swallow: bool = True
+) -> DataStreamWriter:
     """Every micro-batch of articles is scored as a whole and appends one snapshot to the stored table.
 
-    One batch runs at a time; its number is the snapshot's id, so a batch that runs again after a failure appends nothing."""
+    One batch runs at a time; its number is the snapshot's id, so a batch that runs again after a failure appends nothing.
+    A refresh that fails is logged and appends nothing, and the stream goes on with the next one; without swallow it ends."""
+
+    def attempt(batch: DataFrame, number: int) -> None:
+        try:
+            run(batch, number)
+        except Exception:
+            if not swallow:
+                raise
+            log.exception("refresh %s failed", number)
 
     def run(batch: DataFrame, number: int) -> None:
         spark, now = batch.sparkSession, now_of_batch(number)
@@ -28,7 +43,7 @@ def refresh_writer(stream: DataFrame, root: str, now_of_batch: Callable[[int], C
         snapshot = refresh(batch, now, stored.filter(F.col("id") != str(number)), responses, limit).snapshot
         warehouse.append(snapshot.withColumn("id", F.lit(str(number))), root, "index_snapshots", now)
 
-    return stream.writeStream.foreachBatch(run)
+    return stream.writeStream.foreachBatch(attempt)
 
 
 def every_half_hour(writer: DataStreamWriter) -> DataStreamWriter:
