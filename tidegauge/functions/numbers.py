@@ -38,8 +38,8 @@ def current_impact(impact: Column, rate: Column, hours_since: Column) -> Column:
 
 
 def category_weight(category: Column) -> Column:
-    weights = F.create_map(*[F.lit(v) for pair in config.CATEGORY_WEIGHTS.items() for v in pair])
-    return weights[category]
+    weights = ", ".join(f"'{name}', {weight}D" for name, weight in config.CATEGORY_WEIGHTS.items())
+    return F.expr(f"map({weights})")[category]
 
 
 def impact(sentiment: Column, severity: Column, scale: Column, novelty: Column, confidence: Column, weight: Column, hours: Column) -> Column:

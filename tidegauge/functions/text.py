@@ -27,28 +27,26 @@ def scoring_text(headline: Column, excerpt: Column) -> Column:
     return F.lower(F.concat(headline, F.lit(" "), strip_html(excerpt)))
 
 
-def count_terms(text: Column, terms: Sequence[str]) -> Column:
-    """How many of the terms occur anywhere in the text, each once."""
-    hits = [F.contains(text, F.lit(t)).cast("int") for t in terms]
-    total = F.lit(0)
-    for h in hits:
-        total = total + h
-    return total
-
-
-def has_any(text: Column, terms: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for t in terms:
-        found = found | F.contains(text, F.lit(t))
-    return found
-
-
-def first_category(text: Column) -> Column:
-    """The first category with a term in the text."""
-    out = None
-    for name, terms in config.CATEGORY_TERMS.items():
-        out = F.when(has_any(text, terms), name) if out is None else out.when(has_any(text, terms), name)
-    return out.otherwise(config.DEFAULT_CATEGORY)
+def _contains(column: str, term: str) -> str:
+    quoted = term.replace("\\", "\\\\").replace("'", "\\'")
+    return f"contains(`{column}`, '{quoted}')"
+
+
+def _has_any(column: str, terms: Sequence[str]) -> str:
+    return " or ".join(_contains(column, t) for t in terms) or "false"
+
+
+def count_terms(column: str, terms: Sequence[str]) -> Column:
+    """How many of the terms occur anywhere in the text of a column, each once.
+
+    A list goes to Catalyst as one SQL text: a call for each term would take longer than the query."""
+    return F.expr(" + ".join(f"cast({_contains(column, t)} as int)" for t in terms) or "0")
+
+
+def first_category(column: str) -> Column:
+    """The first category with a term in the text of a column."""
+    cases = " ".join(f"when {_has_any(column, terms)} then '{name}'" for name, terms in config.CATEGORY_TERMS.items())
+    return F.expr(f"case {cases} else '{config.DEFAULT_CATEGORY}' end")
 
 
 def severity_bonus(text: Column) -> Column:

@@ -16,7 +16,7 @@ def keyword_features(articles: DataFrame, now: Column, negative: tuple[str, ...]
     cleaned = articles.withColumn("clean_excerpt", X.strip_html(F.col("excerpt")))
     lowered = cleaned.withColumn("_text", F.lower(F.concat("headline", F.lit(" "), "clean_excerpt")))
     text = F.col("_text")
-    hits = lowered.select("*", X.count_terms(text, negative).alias("negative_hits"), X.count_terms(text, positive).alias("positive_hits"), X.first_category(text).alias("kw_category"))
+    hits = lowered.select("*", X.count_terms("_text", negative).alias("negative_hits"), X.count_terms("_text", positive).alias("positive_hits"), X.first_category("_text").alias("kw_category"))
     p, n = F.col("positive_hits"), F.col("negative_hits")
     return hits.select(
         *articles.columns, "clean_excerpt", "negative_hits", "positive_hits", "kw_category", N.keyword_sentiment(p, n).alias("kw_sentiment"),
