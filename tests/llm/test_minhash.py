@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tidegauge.llm import minhash as m
 
@@ -79,7 +80,9 @@ def test_bucket_forest_equals_all_pairs():
     assert len({(x, y) for x, y in zip(a, b)}) == len(set(a)) == len(set(b))
 
 
-def test_groups_against_brute_force(spark):
+@pytest.mark.parametrize("part_rows", [m.PART_ROWS, 7])
+def test_groups_against_brute_force(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(m, "PART_ROWS", part_rows)
     rng, rows = random.Random(4), []
     for g in range(30):
         base = prose(rng, rng.randint(40, 200))

@@ -32,6 +32,8 @@ BITS = 4
 SIMILAR_FROM = 0.45
 #: Bytes of text hashed at a time; bounds memory whatever the length of a text.
 CHUNK_BYTES = 1 << 20
+#: Rows of a bucket that one comparison holds in memory at most, twice; a larger bucket is compared part with part.
+PART_ROWS = 100_000
 
 _ROWS = PERMUTATIONS // BANDS
 SIGNATURE_BYTES = PERMUTATIONS * BITS // 8
@@ -290,7 +292,7 @@ def _forest_of_runs(threshold: float) -> Callable[[Iterable[pa.RecordBatch]], It
 
 
 def _shared_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches (key, node) sorted by key, node -> (bucket, node) of the keys with several nodes; bucket is a hash of its set of nodes.
+    """Batches (key, node) sorted by key, node -> (bucket, node, size) of the keys with several nodes; bucket is a hash of its set of nodes.
 
     Copies meet in many bands; buckets of the same nodes get the same hash, and a task lists each once."""
     seen: set[int] = set()
@@ -308,7 +310,7 @@ def _shared_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 seen.add(h)
                 new[r] = True
         rows = np.repeat(new, size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, size)[rows]), pa.array(nodes[rows])], ["bucket", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, size)[rows]), pa.array(nodes[rows]), pa.array(np.repeat(size, size)[rows])], ["bucket", "node", "size"])
 
     for b in batches:
         if not b.num_rows:
@@ -327,13 +329,20 @@ def _shared_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def near_edges(sigs: DataFrame, threshold: float = SIMILAR_FROM) -> DataFrame:
     """Edges (a, b), a < b, that connect the near copies among sigs(node, sig, keys).
 
-    Only keys and nodes go through the large shuffle; signatures follow for the nodes that share a bucket."""
-    same = sigs.groupBy("sig").agg(F.min("node").alias("rep"), F.min_by("keys", "node").alias("keys"), F.collect_set("node").alias("nodes"))
-    same = materialize(same)
-    equal = same.select(F.col("rep").alias("a"), F.explode("nodes").alias("b")).filter("a < b")
+    Rows of one signature hang on the least of them, which alone is banded. Only keys and nodes
+    go through the large shuffle; signatures follow for the nodes that share a bucket. A bucket
+    of more than PART_ROWS is cut by hash and each two parts are compared in a group of their own."""
+    sigs = materialize(sigs)
+    same = materialize(sigs.groupBy("sig").agg(F.min("node").alias("rep"), F.min_by("keys", "node").alias("keys")))
+    digest = [F.xxhash64("sig").alias("x"), F.xxhash64("sig", F.lit(1)).alias("y")]
+    equal = sigs.select("node", *digest).join(same.select("rep", *digest), ["x", "y"]).filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     banded = same.select(F.explode("keys").alias("key"), F.col("rep").alias("node"))
-    shared = banded.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_buckets, "bucket bigint, node bigint")
+    shared = banded.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_buckets, "bucket bigint, node bigint, size bigint")
     shared = shared.repartition("bucket").distinct()
+    parts = F.ceil(F.col("size") / PART_ROWS)
+    own = F.pmod(F.xxhash64("node"), parts)
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda other: F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)))
+    shared = shared.select(F.explode(F.when(parts > 1, pairs).otherwise(F.array("bucket"))).alias("bucket"), "node")
     runs = shared.join(same.select(F.col("rep").alias("node"), "sig"), "node").select("bucket", "node", "sig")
     runs = runs.repartition("bucket").sortWithinPartitions("bucket")
     return equal.unionByName(runs.mapInArrow(_forest_of_runs(threshold), "a bigint, b bigint")).distinct()
@@ -342,14 +351,15 @@ def near_edges(sigs: DataFrame, threshold: float = SIMILAR_FROM) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, for every node of edges(a, b).
 
-    Alternating large-star and small-star steps; each is one shuffle by node, and each round
-    is cut by a checkpoint in the shared folder."""
+    Alternating large-star and small-star steps; each round is cut by a checkpoint in the shared
+    folder. A node of many edges is split over tasks by the adaptive join on its least neighbour."""
     edges = materialize(edges.select("a", "b").filter("a <> b"))
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         w = Window.partitionBy("a")
-        large = both.withColumn("m", F.least(F.min("b").over(w), F.col("a"))).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # every edge now runs from the larger to the smaller node
         small = large.withColumn("m", F.min("b").over(w))
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
@@ -371,18 +381,19 @@ def near_groups(docs: DataFrame, threshold: float = SIMILAR_FROM) -> DataFrame:
 
 
 def _ranked(docs: DataFrame, threshold: float) -> DataFrame:
-    """One row for each distinct (node, doc_id): its group, its rank there and how many rows it stands for."""
-    found = near_groups(docs, threshold)
+    """One row for each distinct (node, doc_id): how many rows it stands for, whether it is the one its group keeps, and the group."""
     one = docs.select(F.xxhash64("doc_id", "text").alias("node"), F.col("doc_id").cast("bigint").alias("doc_id"))
     one = one.groupBy("node", "doc_id").agg(F.count("*").alias("copies"))
-    joined = one.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    w = Window.partitionBy("root")
-    order = w.orderBy(F.col("doc_id").asc_nulls_last(), F.col("node"))
+    members = one.join(near_groups(docs, threshold), "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+    groups = members.groupBy("root").agg(first, F.sum("copies").alias("group_rows"))
+    found = members.join(groups, "root").select(
+        F.col("node").alias("m_node"), F.col("doc_id").alias("m_id"), F.col("first.doc_id").alias("group_id"), "group_rows", ((F.col("node") == F.col("first.node")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).alias("best")
+    )
+    joined = one.join(found, (F.col("node") == F.col("m_node")) & F.col("doc_id").eqNullSafe(F.col("m_id")), "left")
+    grouped = F.col("m_node").isNotNull()
     return joined.select(
-        "node", "doc_id", "copies",
-        F.row_number().over(order).alias("rank"),
-        F.first("doc_id").over(order).alias("group_id"),
-        F.sum("copies").over(w).alias("group_rows"),
+        "node", "doc_id", "copies", F.coalesce("best", F.lit(True)).alias("best"), F.when(grouped, F.col("group_id")).otherwise(F.col("doc_id")).alias("group_id"), F.coalesce("group_rows", "copies").alias("group_rows")
     )
 
 
@@ -391,23 +402,26 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR_FROM) -> DataFra
 
     group_id is the least doc_id of the row's group, and the row with it is kept (ties: the
     row of the least hash). Rows without near copy form groups of their own. Texts that are
-    null, empty or without any word have no near copies. Rows alike in doc_id and text are
+    null, empty or without any word have no near copies; long ones are hashed whole, in chunks. Rows alike in doc_id and text are
     copies, whatever the text, and one is kept; rows that share only the doc_id are separate
     rows. A null doc_id sorts after all others. Other columns are not read; an empty table
     gives none.
     """
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")
-    rows = _ranked(docs, threshold).select("doc_id", "group_id", "group_rows", "rank", copy)
-    return rows.select("doc_id", "group_id", "group_rows", ((F.col("rank") == 1) & (F.col("copy") == 1)).alias("kept"))
+    rows = _ranked(docs, threshold).select("doc_id", "group_id", "group_rows", "best", copy)
+    return rows.select("doc_id", "group_id", "group_rows", (F.col("best") & (F.col("copy") == 1)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = SIMILAR_FROM) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, all columns as they are."""
+    """The rows of docs that near_duplicates keeps, all columns as they are.
+
+    Null, empty and word-less texts stay unless their row is repeated whole in doc_id and text; of
+    repeated rows one stays; columns of any other name are carried along; an empty table gives none."""
     node, mark = "__minhash_node__", "__minhash_mark__"
     marks = materialize(
         _ranked(docs, threshold)
-        .filter("rank > 1 or copies > 1")
-        .select(F.col("node").alias(node + "of"), F.col("doc_id").alias(mark + "id"), (F.col("rank") > 1).alias(mark))
+        .filter("not best or copies > 1")
+        .select(F.col("node").alias(node + "of"), F.col("doc_id").alias(mark + "id"), (~F.col("best")).alias(mark))
     )
     n, repeated = marks.agg(F.count("*"), F.count_if(~F.col(mark))).first()
     side = F.broadcast(marks) if fits_broadcast(n, 32) else marks
