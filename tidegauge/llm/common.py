@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a small side up to which it may be broadcast; beyond it the join shuffles.
@@ -28,6 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path[len("file:") :])
+    return pafs.LocalFileSystem(), path
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 

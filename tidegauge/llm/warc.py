@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 
-from .common import shared_dir
+from .common import filesystem, shared_dir
 
 SCHEMA = (
     "path string, offset bigint, record_id string, type string, target_uri string, date string, content_type string, "
@@ -38,12 +38,6 @@ MAX_HEADER = 1 << 20
 MAX_PARTITION_BYTES = 128 << 20
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path[len("file:") :])
-    return pafs.LocalFileSystem(), path
-
-
 def _parse_block(block: bytes) -> tuple[str, list[tuple[str, str]]]:
     """First line and the (lower-case name, value) lines of a header block; folded lines are joined."""
     lines = block.decode("utf-8", "replace").split("\r\n")
@@ -233,7 +227,7 @@ def records(path: str, wanted: Callable[[dict[str, str]], bool], payload: bool,
     the reason in headers["error"], and reading goes on at the next line, or gzip member,
     that begins like a record. Such rows are wanted or not like others, by their type.
     """
-    fs, name = _filesystem(path)
+    fs, name = filesystem(path)
     with fs.open_input_file(name) as f:
         magic = f.read(2)
         reader = _Gzip(f) if magic == b"\x1f\x8b" else _Plain(f)
@@ -321,7 +315,7 @@ class WarcReader(ds.DataSourceReader):
     def partitions(self) -> list[Files]:
         sized = []
         for path in self.paths:
-            fs, name = _filesystem(path)
+            fs, name = filesystem(path)
             info = fs.get_file_info(name)
             if info.type == pafs.FileType.Directory:
                 prefix = path[: len(path) - len(name)] if path.endswith(name) else ""
@@ -410,7 +404,7 @@ def record_bytes(headers: list[tuple[str, str]], content: bytes, compressed: boo
 def _write(folder: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.warc.gz"
-        fs, path = _filesystem(name)
+        fs, path = filesystem(name)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         n = 0
         with fs.open_output_stream(path, compression=None) as f:
