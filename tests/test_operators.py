@@ -219,3 +219,32 @@ def test_contributor_rows(spark):
     scores = spark.createDataFrame([("s1", "e1", True), ("s0", "e1", False), ("s2", "e2", True)], "id string, event_id string, is_active boolean")
     rows = schemas.conform(I.contributor_rows(events, scores, F.lit("7")), "index_snapshot_events", F.lit("2024-01-01").cast("timestamp"))
     assert sorted((r.id, r.event_score_id, r.current_impact, r.hours_since_detected) for r in rows.collect()) == [("7/e1", "s1", 1.5, 2.0), ("7/e2", "s2", -1.0, 3.0)]
+
+
+def test_import_takes_one_row_of_each_url(spark):
+    candidates = spark.createDataFrame([("u1", "h", "x"), ("u1", "h", "y"), ("u2", "h", "x"), ("u3", "h", "z"), ("u4", "k", "z")], "url string, headline string, excerpt string")
+    stored = spark.createDataFrame([("u4", "none")], "url string, content_hash string")
+    got = A.importable(candidates, stored).collect()
+    assert sorted(r.url for r in got) in (["u1", "u3"], ["u1", "u2", "u3"]) and len({r.content_hash for r in got}) == len(got)
+    assert A.importable(candidates.limit(0), stored).count() == 0
+
+
+def test_settle(spark):
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(["new", "new", "new", "new", "failed"])], "id bigint, status string")
+    links = spark.createDataFrame([(0, "duplicate"), (0, "duplicate"), (1, "duplicate"), (1, "primary"), (2, "supporting"), (4, "primary")], "article_id bigint, relation_type string")
+    assert {r.id: r.status for r in A.settle(rows, links).collect()} == {0: "duplicate", 1: "processed", 2: "processed", 3: "ignored", 4: "failed"}
+
+
+def test_reinforced_events_decay_from_the_newest_article(spark):
+    events = spark.createDataFrame([("a", 8.0, 0.1), ("b", 8.0, 0.1), ("c", 8.0, 0.1)], "event_id string, impact double, decay_rate double")
+    updates = spark.createDataFrame([("a", at("2024-01-01")), ("a", at("2024-01-03")), ("b", at("2024-01-01"))], "event_id string, at timestamp")
+    got = {r.event_id: r.current_impact for r in E.reinforced(events, updates, F.lit("2024-01-03").cast("timestamp")).collect()}
+    assert got == {"a": 8.0, "b": round(8 * 2.718281828459045**-4.8, 2)}
+
+
+def test_chart(spark):
+    rows = spark.createDataFrame([(at("2024-01-01T10:00:00"), 1000.0), (at("2024-01-01T12:30:00"), 1010.0), (at("2024-01-01T11:00:00"), 1005.0)], "snapshot_at timestamp, current_index double")
+    points = I.chart_points(rows, 100, 10)
+    assert [(r.label, r.x, r.y) for r in points.orderBy("snapshot_at").collect()] == [("10:00", 0.0, 10.0), ("11:00", 50.0, 5.0), ("12:30", 100.0, 0.0)]
+    assert 'points="0.00,10.00 50.00,5.00 100.00,0.00"' in I.chart_svg(points, 100, 10).first().svg
+    assert [r.y for r in I.chart_points(rows.limit(1), 100, 10).collect()] == [5.0]

@@ -94,3 +94,28 @@ def test_first_by_headline(spark, tmp_path):
     drain(R.first_by_headline(stream_of(spark, articles, str(tmp_path / "in"))), "firsts", "append", str(tmp_path / "state"))
     keys = [r.headline_key for r in spark.table("firsts").collect()]
     assert len(keys) == len(set(keys)) == len({r.headline_key for r in spark.table("firsts").collect()}) and keys.count("deadly earthquake strikes city") == 1
+
+
+def test_a_failed_refresh_is_logged_and_the_stream_goes_on(spark, tmp_path, caplog):
+    samples, root = datasets.samples(spark), str(tmp_path / "wh")
+
+    def now(number):
+        if number == 0:
+            raise RuntimeError("no clock")
+        return F.lit("2024-01-05").cast("timestamp")
+
+    for _ in range(2):
+        stream = stream_of(spark, samples, str(tmp_path / "in"))
+        R.refresh_writer(stream, root, now).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert [r.id for r in warehouse.read(spark, root, "index_snapshots").collect()] == ["1"] and "refresh 0 failed" in caplog.text
+    with pytest.raises(Exception, match="no clock"):
+        R.refresh_writer(stream, root, now, swallow=False).option("checkpointLocation", str(tmp_path / "other")).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_half_hour():
+    class Writer:
+        def trigger(self, **given):
+            self.given = given
+            return self
+
+    assert R.every_half_hour(Writer()).given == {"processingTime": "30 minutes"}
