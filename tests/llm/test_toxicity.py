@@ -80,3 +80,92 @@ def test_recall_by_language_on_held_out_labels(spark):
         print(lang, sum(bad), len(bad), sum(good), len(good))
         assert sum(bad) >= 0.8 * len(bad) > 8 and sum(good) <= 0.015 * len(good), lang
     assert t.fit_lexemes(docs, labels.limit(0)) == t.NO_LEXEMES
+
+
+def by_hand(text, lexemes=t.NO_LEXEMES):
+    """The rules of the module's docstring as one loop over words, without transducers, tables or an automaton."""
+    import re
+
+    score, seen, nouns, adjectives = 0.0, set(), set(t.INSULT_NOUNS), set(t.INSULT_ADJECTIVES)
+    for sentence in re.split(r"[.!?\n\r]", text or ""):
+        reported, quoted, paid, hit = False, False, 0.0, False
+        intent = negated = person = waiting = bonus = None
+
+        def clause_ends():
+            nonlocal score, paid, hit, intent, negated, person, waiting, bonus
+            score += max(0.0, paid) if hit else 0.0
+            paid, hit, intent, negated, person, waiting, bonus = 0.0, False, 0, 0, False, False, False
+
+        clause_ends()
+        for token in re.findall(r"[^\W_]+(?:['’][^\W_]+)*|[,;:()\"“”«»]", sentence):
+            if token in ",;:()" or token.lower() in ("but", "because", "although", "while"):
+                clause_ends()
+                continue
+            low = token.lower().replace("’", "'")
+            parts = low.split("'")
+            forms = [p for p in parts if lexemes.stems and any(p.startswith(s) and p != s for s in lexemes.stems)] if low not in t._TAGS else []
+            if forms:
+                words = [("form", p) for p in forms]
+            elif "'" in low and low.replace("'", "", low.count("'")) not in t._TAGS:
+                head, tail = "'".join(parts[:-1]), parts[-1]
+                words = [("word", w) for w in (head, tail) if w in t._TAGS] or [("word", "")]
+            else:
+                words = [("word", low.replace("'", ""))]
+            for kind, w in words:
+                reporting = reported or quoted
+                if kind == "form":
+                    if w not in seen:
+                        paid, hit = paid + (0.25 if w in lexemes.weak else 0.5), True
+                    seen.add(w)
+                elif token in '"“”«»':
+                    quoted, reported = not quoted, reported and quoted and False
+                elif w in nouns or w in adjectives or w in t.HARM_VERBS and intent > 0:
+                    value = 0.75 if w in t.HARM_VERBS else 1.0
+                    if w in t.HARM_VERBS:
+                        waiting, bonus, person, intent = True, False, False, 0
+                    elif person and not bonus and not waiting:
+                        paid, bonus = paid + 0.5, True
+                    elif not bonus:
+                        waiting = True
+                    if negated <= 0:
+                        paid += value - (0.75 * value if reporting else 0)
+                        hit = True
+                    if w not in t.HARM_VERBS:
+                        intent -= 1
+                    continue
+                intent, negated = intent - 1, negated - 1
+                if kind == "word":
+                    if w in t.INTENT or w == "going":
+                        intent = 3
+                    elif w in t.NEGATIONS:
+                        negated = 3
+                    elif w in t.REPORTING:
+                        reported = True
+                    elif w in t.TARGETS or w in t.STRONG_TARGETS:
+                        if waiting and not bonus:
+                            paid, bonus = paid + 0.5, True
+                        person = True
+        clause_ends()
+    return round(score, 6)
+
+
+def test_against_a_scorer_by_hand(spark):
+    """Every row of two tables, with and without lexemes, against the rules written down anew."""
+    for folder in ("sf0.001", "sf0.01"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{n}.parquet") for n in ("documents", "labels"))
+        texts = {r.doc_id: r.text for r in docs.collect()}
+        for lexemes in (t.NO_LEXEMES, t.fit_lexemes(docs, labels), t.Lexemes(("ent", "pre", "con"), frozenset(["contre"]))):
+            got = {r.doc_id: r.score for r in t.toxicity(docs, lexemes=lexemes).collect()}
+            wrong = {i: (got[i], by_hand(text, lexemes)) for i, text in texts.items() if got[i] != pytest.approx(by_hand(text, lexemes))}
+            assert not wrong and sum(s > 0 for s in got.values()) > 5
+
+
+def test_random_sentences_against_a_scorer_by_hand():
+    import random
+
+    rng = random.Random(7)
+    words = ["idiot", "stupid", "kill", "beat", "will", "going", "you", "they", "not", "isn't", "you're", "said", '"', ",", "but", ".", "the", "cat", "I'll", "l'vexo", "vexi", "vexa", "can’t", "!"]
+    lexemes = t.Lexemes(("vex",), frozenset(["vexa"]))
+    for _ in range(20_000):
+        text = " ".join(rng.choices(words, k=rng.randint(1, 14)))
+        assert t.score_text(text, lexemes)[0] == pytest.approx(by_hand(text, lexemes)), text
