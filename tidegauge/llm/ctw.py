@@ -44,7 +44,7 @@ TABLE_BYTES = 1 << 29
 _SLICE_BITS = 22
 #: Own occurrences of a gram that a text's count is told apart up to; beyond, so many are taken off.
 _MOST = (1 << 24) - 1
-_GROUP_BYTES = 4 << 20
+_GROUP_BYTES = 2 << 20
 #: Distinct grams that a task holds before it passes them on.
 _HELD_GRAMS = 2_000_000
 _U64 = np.uint64
