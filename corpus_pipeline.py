@@ -42,11 +42,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """docs, read from files, with position: the place of each row, from 0, in the order the files were written in.
+    """doc_id and text of docs, read from files, with position: the place of each row, from 0, in the order the files were written in.
 
     Spark reads large files first; the order is that of the numbers in the files' names and, within a file, of its rows.
     """
-    rows = docs.select("*", F.col("_metadata.file_path").alias("__file__"), F.col("_metadata.row_index").alias("__row__"))
+    rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("__file__"), F.col("_metadata.row_index").alias("__row__"))
     sizes = [(r[0], r[1]) for r in rows.groupBy("__file__").agg(F.count("*")).collect()]
 
     def written(path: str) -> tuple:
@@ -59,7 +59,7 @@ def placed(docs: DataFrame) -> DataFrame:
         at += n
     begin = F.broadcast(docs.sparkSession.createDataFrame(starts, "__of__ string, __start__ bigint"))
     joined = rows.join(begin, F.col("__file__") == F.col("__of__"))
-    return joined.select(*docs.columns, (F.col("__start__") + F.col("__row__")).alias("position"))
+    return joined.select("doc_id", "text", (F.col("__start__") + F.col("__row__")).alias("position"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

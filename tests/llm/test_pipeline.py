@@ -87,3 +87,21 @@ def test_training_order_through_several_files(spark, tmp_path):
     assert [r.position for r in out] == list(range(len(mixed)))
     assert [(r.doc_id, r.token_ids) for r in out] == [(i, REFERENCE.encode_ordinary(text)) for _, i, text in padded]
     assert corpus_pipeline.bpe(spark, again.limit(0), str(tmp_path)).count() == 0
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    """No rows, and columns of the names that the stages use themselves."""
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint, position double, node string, kept int, score string, tokens string, root array<int>"
+    names = [c.split()[0] for c in columns.split(", ")]
+    spark.createDataFrame([], columns).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    rows = [(1, "a quiet text of some words"), (1, "a quiet text of some words"), (2, "you pathetic idiot"), (3, None), (4, ""), (None, "another text entirely, of words"), (5, long), (6, long + " end")]
+    spark.createDataFrame([(i, t, None, "s", None, 0.5, "n", 1, "x", None, [1]) for i, t in rows], columns).write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == names
+    out = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert sorted((r.doc_id for r in out), key=str) == sorted([1, 3, 4, None, 5], key=str)
+    assert {r.doc_id: r.n_tokens for r in out}[5] > 60_000
