@@ -165,3 +165,22 @@ def test_odd_files(spark):
     got = sorted(((r.media_id or 0, r.end_frame, r.error) for r in v.detect_shots(spark.createDataFrame(rows, "media_id bigint, avi binary, clip int")).collect()), key=str)
     assert got == [(0, 4, None), (2, None, "empty"), (3, None, "no AVI file"), (4, 3, None), (4, 3, None), (5, None, "no frame can be decoded"), (6, None, "no video stream")]
     assert v.detect_shots(spark.createDataFrame([], "media_id bigint, avi binary")).count() == 0
+
+
+def test_histograms_of_partial_blocks():
+    """Pictures whose size is no multiple of a block, many at once: counted as from the whole picture."""
+    rng = np.random.default_rng(8)
+    frames = [coded(rng, (21, 35), ((2, 2), (1, 1), (1, 1)), 0) for _ in range(5)]
+    luma, good = v.decode_luma([v.Frame(f) for f in frames])
+    assert luma.shape == (5, 21, 35) and good.all()
+    for got, pixels in zip(v.histograms(frames), luma):
+        assert (got == np.bincount(pixels.reshape(-1) // (256 // v.BINS), minlength=v.BINS) / pixels.size).all()
+
+
+def test_odd_conversations(spark):
+    rows = [(None, 1, "u", "x"), (None, None, "u", None), (2, 1, "u", "a"), (2, 1, "u", "a"), (3, 1, "u", "long " * 100_000), (4, None, None, "")]
+    media = v.conversation_media(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    got = {r.media_id: len(v.avi_frames(bytes(r.avi))[1]) for r in media.collect()}
+    assert got.keys() == {None, 2, 3, 4} and all(4 <= got[k] <= 7 for k in (3, 4)) and got[None] >= 8 and got[2] >= 8
+    assert v.detect_shots(media).filter("error is not null").count() == 0
+    assert v.conversation_media(spark.createDataFrame([], "conv_id bigint, turn bigint, text string")).count() == 0

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -260,7 +260,19 @@ def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode_luma(frames: list[Frame]) -> tuple[np.ndarray, np.ndarray]:
-    """Luminance of frames of one kind (frames x height x width, uint8), and which frames decoded without error.
+    """Luminance of frames of one kind (frames x height x width, uint8), and which frames decoded without error."""
+    height, width = frames[0].kind[0]
+    luma = np.zeros((len(frames), height, width), np.uint8)
+
+    def keep(y: int, x: int, pixels: np.ndarray) -> None:
+        luma[:, y : y + 8, x : x + 8] = pixels
+
+    return luma, decode_blocks(frames, keep)
+
+
+def decode_blocks(frames: list[Frame], keep: Callable[[int, int, np.ndarray], None]) -> np.ndarray:
+    """Decodes frames of one kind side by side and gives each luminance block of all of them to keep(y, x, pixels inside
+    the picture); returns which frames decoded without error. What is held doesn't grow with the picture's size.
 
     All components are decoded, as the luminance blocks lie between the others'."""
     (height, width), interval, sampling, quantisers, tables = frames[0].kind
@@ -310,8 +322,6 @@ def decode_luma(frames: list[Frame]) -> tuple[np.ndarray, np.ndarray]:
 
     lookups = [(_lookup(dc), _lookup(ac)) for dc, ac in tables]
     predicted = np.zeros((len(sampling), n), np.int32)
-    v0, h0 = sampling[0][1], sampling[0][0]
-    luma = np.zeros((n, down * v0 * 8, across * h0 * 8), np.uint8)
     quantiser = np.array(quantisers[0], np.float64)
     everyone = np.arange(n)
     for mcu in range(across * down):
@@ -348,13 +358,18 @@ def decode_luma(frames: list[Frame]) -> tuple[np.ndarray, np.ndarray]:
                         block[:, _ZIGZAG] = coefficients * quantiser
                         pixels = np.matmul(_DCT.T, np.matmul(block.reshape(n, 8, 8), _DCT)) + 128
                         y, x = (mcu // across * v + by) * 8, (mcu % across * h + bx) * 8
-                        luma[:, y : y + 8, x : x + 8] = np.clip(np.rint(pixels), 0, 255).astype(np.uint8)
-    return luma[:, :height, :width], good
+                        if y < height and x < width:
+                            keep(y, x, np.clip(np.rint(pixels[:, : height - y, : width - x]), 0, 255).astype(np.uint8))
+    return good
 
 
 # --- Shots ----------------------------------------------------------------------------
 
 
+#: Frames decoded side by side, and bytes of files that are taken at a time.
+_SIDE_BY_SIDE, _GROUP_BYTES = 4096, 32 << 20
+
+
 def histograms(frames: list[bytes | None]) -> list[np.ndarray | None]:
     """Normalised luminance histograms; None for a frame that is missing or can't be decoded."""
     out: list[np.ndarray | None] = [None] * len(frames)
@@ -366,13 +381,18 @@ def histograms(frames: list[bytes | None]) -> list[np.ndarray | None]:
             continue
         kinds.setdefault(f.kind, []).append((i, f))
     for kind, members in kinds.items():
-        step = max(1, min(4096, (16 << 20) // (kind[0][0] * kind[0][1])))
-        for lo in range(0, len(members), step):
-            part = members[lo : lo + step]
-            luma, good = decode_luma([f for _, f in part])
-            for (i, _), pixels, fine in zip(part, luma, good):
+        for lo in range(0, len(members), _SIDE_BY_SIDE):
+            part = members[lo : lo + _SIDE_BY_SIDE]
+            counts, first_bin = np.zeros(len(part) * BINS, np.int64), (np.arange(len(part), dtype=np.int32) * BINS)[:, None, None]
+
+            def count(y: int, x: int, pixels: np.ndarray) -> None:
+                nonlocal counts
+                counts += np.bincount((first_bin + pixels // (256 // BINS)).reshape(-1), minlength=len(counts))
+
+            good = decode_blocks([f for _, f in part], count)
+            for (i, _), own, fine in zip(part, counts.reshape(-1, BINS), good):
                 if fine:
-                    out[i] = np.bincount(pixels.reshape(-1) // (256 // BINS), minlength=BINS) / pixels.size
+                    out[i] = own / (kind[0][0] * kind[0][1])
     return out
 
 
@@ -434,7 +454,7 @@ def _clip_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in b.column(1)]
         while lo < b.num_rows:
             hi, held = lo, 0
-            while hi < b.num_rows and (hi == lo or held + sizes[hi] <= 8 << 20):
+            while hi < b.num_rows and (hi == lo or held + sizes[hi] <= _GROUP_BYTES):
                 held += sizes[hi]
                 hi += 1
             ids = b.column(0).slice(lo, hi - lo).to_pylist()
@@ -451,7 +471,8 @@ def detect_shots(media: DataFrame) -> DataFrame:
     A null file gives no row; an empty or broken one, or one without decodable frames, one
     row with null columns and an error. Frames that are dropped or broken count in time but
     never start a shot. Repeated rows are files of their own; a null media_id stays null;
-    other columns are not read; an empty table gives none.
+    other columns are not read; an empty table gives none. A long file is read whole, its frames
+    are decoded some thousand at a time.
     """
     return media.select(F.col("media_id").cast("bigint"), "avi").mapInArrow(_clip_batches, _CLIP)
 
@@ -546,7 +567,9 @@ def conversation_avi(turns: list[str]) -> bytes:
 def conversation_media(conversations: DataFrame) -> DataFrame:
     """media(media_id, avi) of conversations(conv_id, turn, role, text): one clip a conversation, one shot a turn.
 
-    Turns go by number, those with equal or null numbers by text; a null text counts as empty."""
+    Turns go by number, null ones first, those with equal or null numbers by text; a null text counts as empty, a long one
+    has a shot like any other. Repeated turns are shots of their own. All turns with a null conv_id are one clip of null
+    media_id. Other columns are not read; an empty table gives none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
