@@ -296,13 +296,16 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, token_ids of every row of docs(doc_id, text).
 
     A null text gives null tokens, an empty one none; repeated rows are encoded each; a null
-    doc_id stays null; other columns are not read; an empty table gives none.
+    doc_id stays null; a long text is encoded whole; other columns are not read; an empty table
+    gives none. vocabulary is a file that every executor has.
     """
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_encode_batches(vocabulary, False), _ENCODED)
 
 
 def bpe_encode_placed(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """bpe_encode's columns and position (bigint) of docs(doc_id, text, position), range-sorted by position."""
+    """bpe_encode's columns and position (bigint) of docs(doc_id, text, position), range-sorted by position.
+
+    Cases as in bpe_encode; rows of equal position come in any order, those of a null one first."""
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.col("position").cast("bigint").alias("position")).orderBy("position")
     return rows.mapInArrow(_encode_batches(vocabulary, False), _ENCODED + ", position bigint")
 
@@ -323,5 +326,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """bpe_encode's columns and round_trip: whether decoding the tokens gives the text's bytes back (null for a null text)."""
+    """bpe_encode's columns and round_trip: whether decoding the tokens gives the text's bytes back (null for a null text).
+
+    Cases as in bpe_encode."""
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_encode_batches(vocabulary, True), _ENCODED + ", round_trip boolean")

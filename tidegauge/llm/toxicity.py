@@ -375,7 +375,8 @@ def fit_lexemes(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lex
 def toxicity(docs: DataFrame, reject_from: float = REJECT_FROM, lexemes: Lexemes = NO_LEXEMES) -> DataFrame:
     """doc_id, score, toxic, clauses of every row of docs(doc_id, text).
 
-    Null, empty or word-less text: score 0, no clauses. Repeated rows are scored each.
+    Null, empty or word-less text: score 0, no clauses. Repeated rows are scored each. A text is
+    scored whole, however long.
     A null doc_id stays null. Columns besides doc_id and text are not read. An empty table gives none.
     """
     scored = docs.select("doc_id", "text").mapInArrow(
@@ -385,7 +386,10 @@ def toxicity(docs: DataFrame, reject_from: float = REJECT_FROM, lexemes: Lexemes
 
 
 def drop_toxic(docs: DataFrame, reject_from: float = REJECT_FROM, lexemes: Lexemes = NO_LEXEMES) -> DataFrame:
-    """The rows of docs whose text scores below reject_from, all columns as they are."""
+    """The rows of docs whose text scores below reject_from, all columns as they are.
+
+    Null, empty and word-less texts score 0 and stay; repeated rows are kept or dropped alike;
+    long texts are scored whole; columns of any other name are carried along; an empty table gives none."""
 
     @F.arrow_udf(T.DoubleType())
     def toxicity_score(texts: pa.Array) -> pa.Array:
