@@ -1,3 +1,5 @@
+import pytest
+
 from tidegauge.llm import html_templates as h
 
 
@@ -42,7 +44,10 @@ def brute_force(rows, min_pages, min_share):
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_against_brute_force(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(h, "fits_broadcast", lambda rows, size: False)
     nav = "<nav><ul><li><a href='/a'>Home</a><li>News</ul></nav>"
     rows = []
     for i in range(30):

@@ -157,13 +157,15 @@ def text_of(root: Element, templates: frozenset | set) -> tuple[str, int]:
 
 
 def _distinct_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (html, columns of a page ...) -> (hash, those columns), a row for each different hash of a page."""
     for b in batches:
-        hosts, hashes = [], []
-        for host, page in zip(b.column(0).to_pylist(), b.column(1)):
+        pages, hashes = [], []
+        for i, page in enumerate(b.column(0)):
             own = {e.hash for e in hash_subtrees(parse(page.as_py() or "")) if e.tag not in _VOID}
-            hosts += [host] * len(own)
+            pages += [i] * len(own)
             hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+        rest = [c.take(pa.array(pages, pa.int64())) for c in b.columns[1:]]
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), *rest], ["hash", *b.schema.names[1:]])
 
 
 def _among(hashes: list[int], templates: np.ndarray) -> frozenset:
@@ -204,8 +206,8 @@ def host_of(url: Column) -> Column:
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, hash, pages): the template subtrees of each host of pages(url, html)."""
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").alias("html"))
-    counts = rows.mapInArrow(_distinct_hashes, "host string, hash bigint").groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
+    rows = pages.select(F.col("html").alias("html"), host_of(F.col("url")).alias("host"))
+    counts = rows.mapInArrow(_distinct_hashes, "hash bigint, host string").groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
     if not min_share:
         return counts
     sizes = rows.groupBy("host").agg(F.count("*").alias("of"))
@@ -217,16 +219,20 @@ def extract_without_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_
 
     Null html: null text, nothing removed; empty html: empty text. Pages whose url is null
     or without host count as one host, "". Repeated rows count as pages each. Extra columns are not
-    read; an empty table gives none.
+    read; an empty table gives none. A long page is parsed whole; the order of hosts or ties plays no part.
     """
     templates = materialize(site_templates(pages, min_pages, min_share))
-    by_host = templates.groupBy(F.col("host").alias("of_host")).agg(F.sort_array(F.collect_list("hash")).alias("templates"))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host_of(F.col("url")).alias("host"), F.col("html").alias("html"))
     result = "page_id bigint, host string, text string, n_removed int"
     if fits_broadcast(templates.count(), 16):
         # by reference: a large host has thousands, too many to stand in each of its rows
+        by_host = templates.groupBy(F.col("host").alias("of_host")).agg(F.sort_array(F.collect_list("hash")).alias("templates"))
         got = by_host.toArrow().combine_chunks()
         shared = {h.as_py(): x.values.to_numpy() for h, x in zip(got.column("of_host"), got.column("templates"))}
         return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(shared)), result)
-    joined = rows.join(by_host, F.col("host") == F.col("of_host"), "left").select("page_id", "host", "html", "templates")
-    return joined.mapInArrow(_extract(), result)
+    # each page gets the templates that it holds itself: hashes travel to the templates, then back to the page by its content, so
+    # that no host's pages meet in one task; equal pages share a row
+    keyed = rows.select("*", F.xxhash64("host", "html").alias("x"), F.xxhash64("host", "html", F.lit(1)).alias("y"))
+    held = keyed.select("html", "host", "x", "y").mapInArrow(_distinct_hashes, "hash bigint, host string, x bigint, y bigint")
+    met = held.join(templates.select("host", "hash"), ["host", "hash"]).groupBy("x", "y").agg(F.sort_array(F.collect_set("hash")).alias("templates"))
+    return keyed.join(met, ["x", "y"], "left").select("page_id", "host", "html", "templates").mapInArrow(_extract(), result)
