@@ -1,6 +1,7 @@
 """Every registered query against its SQL in another engine."""
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pandas as pd
@@ -35,12 +36,28 @@ def rows(columns, data):
     return sorted((tuple(cell(r[i]) for i in order) for r in data), key=str)
 
 
+@pytest.fixture(scope="module")
+def results(spark, sf_dir):
+    """Columns and rows of every query, or its error; several at a time, for most of a small query is planning."""
+
+    def run(name):
+        try:
+            df = q.queries()[name](spark, sf_dir)
+            return df.columns, [tuple(r) for r in df.collect()]
+        except Exception as e:
+            return e
+
+    names = sorted(q.queries())
+    with ThreadPoolExecutor(6) as pool:
+        return dict(zip(names, pool.map(run, names)))
+
+
 @pytest.mark.parametrize("name", sorted(q.queries()))
-def test_against_sql(spark, sf_dir, duck, name):
-    df = q.queries()[name](spark, sf_dir)
-    got = rows(df.columns, [tuple(r) for r in df.collect()])
+def test_against_sql(results, duck, name):
+    if isinstance(results[name], Exception):
+        raise results[name]
+    names, data = results[name]
     found = duck.cursor().execute(q.oracle_sql()[name])
     columns = [c[0] for c in found.description]
-    want = rows(columns, found.fetchall())
-    assert sorted(df.columns) == sorted(columns)
-    assert got == want
+    assert sorted(names) == sorted(columns)
+    assert rows(names, data) == rows(columns, found.fetchall())

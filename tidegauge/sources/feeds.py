@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable, Iterator
@@ -153,6 +154,10 @@ class FeedFileDataSource(FeedDataSource):
         return "feed_file"
 
 
+_REGISTERING = threading.Lock()  # Spark fails where two threads register one name at the same time
+
+
 def scan_feeds(spark: SparkSession, feeds: list[tuple[str, str]], errors: bool = False, source: type[DataSource] = FeedDataSource) -> DataFrame:
-    spark.dataSource.register(source)
+    with _REGISTERING:
+        spark.dataSource.register(source)
     return spark.read.format(source.name()).option("feeds", json.dumps(feeds)).option("errors", str(errors).lower()).load()
