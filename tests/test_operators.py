@@ -2,6 +2,7 @@
 
 import json
 import random
+import threading
 from datetime import datetime
 
 import pytest
@@ -12,6 +13,7 @@ from tidegauge.operators import articles as A
 from tidegauge.operators import assessments as M
 from tidegauge.operators import events as E
 from tidegauge.operators import index as I
+from tidegauge.operators import matching
 from tidegauge.operators import scoring as S
 from tidegauge.plans import datasets, pipeline, routes
 from tidegauge.plans.cache import LatestRefresh
@@ -248,3 +250,38 @@ def test_chart(spark):
     assert [(r.label, r.x, r.y) for r in points.orderBy("snapshot_at").collect()] == [("10:00", 0.0, 10.0), ("11:00", 50.0, 5.0), ("12:30", 100.0, 0.0)]
     assert 'points="0.00,10.00 50.00,5.00 100.00,0.00"' in I.chart_svg(points, 100, 10).first().svg
     assert [r.y for r in I.chart_points(rows.limit(1), 100, 10).collect()] == [5.0]
+
+
+def test_matching_equals_all_pairs(spark):
+    """Against every pair, with many equal sets, sets within sets and similarities that just reach the threshold."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(30)] + ["the", "of"] * 4
+    headline = lambda: " ".join(rng.choices(vocabulary, k=rng.randint(0, 12)))
+    pool = [headline() for _ in range(60)]
+    asked = [(f"u{i % 190}", rng.choice([headline(), rng.choice(pool)])) for i in range(200)]
+    known = [(i, rng.choice([headline(), rng.choice(pool)])) for i in range(200)]
+    for threshold in (0.3, 0.5, 2 / 3, 0.8, 1.0):
+        want = {}
+        for url, x in asked:
+            for event, y in known:
+                a, b = set(x.split()), set(y.split())
+                if a and b and len(a & b) / len(a | b) >= threshold:
+                    want[url] = min(want.get(url, (0, 0)), (-len(a & b) / len(a | b), event))
+        found = matching.match_events(spark.createDataFrame(asked, "url string, headline string"), spark.createDataFrame(known, "event_id bigint, title string"), threshold)
+        assert {r.url: (-r.similarity, r.event_id) for r in found.collect()} == want
+
+
+def test_matching_compares_equal_headlines_once(spark):
+    """20,000 articles and 20,000 events with one headline: 400 million pairs, if each were looked at."""
+    ids = spark.range(20_000)
+    asked = ids.select(F.col("id").cast("string").alias("url"), F.lit("harbour wall breaks in storm").alias("headline"))
+    known = ids.select((F.col("id") + 5).alias("event_id"), F.lit("Storm breaks harbour wall").alias("title"))
+    spark.sparkContext.setJobGroup("equal headlines", "matching", True)
+    timer = threading.Timer(60, spark.sparkContext.cancelJobGroup, ["equal headlines"])
+    timer.start()
+    try:
+        found = matching.match_events(asked, known).agg(F.count("*"), F.min("event_id"), F.max("event_id"), F.min("similarity")).first()
+    finally:
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tuple(found) == (20_000, 5, 5, 0.8)
