@@ -285,3 +285,11 @@ def test_matching_compares_equal_headlines_once(spark):
         timer.cancel()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert tuple(found) == (20_000, 5, 5, 0.8)
+
+
+def test_a_filter_on_hits_cleans_no_text_twice(spark):
+    """A filter pushed below the word counts would clean the excerpt once for each term of the lists."""
+    found = E.candidates(S.keyword_features(datasets.samples(spark), datasets.now()), 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<[^>]*>") == 1
+    assert {r.url.rsplit("/", 1)[1] for r in found.select("url").collect()} >= {"0", "4", "14"}

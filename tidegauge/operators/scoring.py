@@ -11,12 +11,18 @@ from ..functions import text as X
 from ..functions import times as D
 
 
+def _worked_out(rows: DataFrame, *columns: Column) -> DataFrame:
+    """rows with columns that are worked out once a row: as a generator's output, a filter above isn't pushed down with a copy of the expression for each mention."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def keyword_features(articles: DataFrame, now: Column, negative: tuple[str, ...] = config.NEGATIVE_TERMS, positive: tuple[str, ...] = config.POSITIVE_TERMS) -> DataFrame:
     """Articles with clean_excerpt, negative and positive hits, and the kw_ values of every dimension."""
     cleaned = articles.withColumn("clean_excerpt", X.strip_html(F.col("excerpt")))
-    lowered = cleaned.withColumn("_text", F.lower(F.concat("headline", F.lit(" "), "clean_excerpt")))
+    lowered = _worked_out(cleaned, F.lower(F.concat("headline", F.lit(" "), "clean_excerpt")).alias("_text"))
     text = F.col("_text")
-    hits = lowered.select("*", X.count_terms("_text", negative).alias("negative_hits"), X.count_terms("_text", positive).alias("positive_hits"), X.first_category("_text").alias("kw_category"))
+    counted = _worked_out(lowered, X.count_terms("_text", negative).alias("negative_hits"), X.count_terms("_text", positive).alias("positive_hits"))
+    hits = counted.withColumn("kw_category", X.first_category("_text"))
     p, n = F.col("positive_hits"), F.col("negative_hits")
     return hits.select(
         *articles.columns, "clean_excerpt", "negative_hits", "positive_hits", "kw_category", N.keyword_sentiment(p, n).alias("kw_sentiment"),
