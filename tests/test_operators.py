@@ -293,3 +293,19 @@ def test_a_filter_on_hits_cleans_no_text_twice(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<[^>]*>") == 1
     assert {r.url.rsplit("/", 1)[1] for r in found.select("url").collect()} >= {"0", "4", "14"}
+
+
+def test_sorting_by_impact_scores_once(spark):
+    """The sort samples its input; below the sort lies a shuffle, so that the sample isn't scored anew."""
+    rows = spark.createDataFrame([(f"e{i}", float(i % 5 - 2), i) for i in range(50)], "event_id string, current_impact double, pos int")
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            calls.add(len(f))
+            yield f
+
+    shown = E.by_impact(rows.mapInPandas(seen, rows.schema))
+    got = [(r.event_id, r.current_impact) for r in shown.collect()]
+    assert got == [(f"e{i}", float(i % 5 - 2)) for i in sorted(range(50), key=lambda i: (-abs(i % 5 - 2), i))]
+    assert calls.value == 50

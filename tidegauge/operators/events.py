@@ -16,7 +16,8 @@ def active(events: DataFrame) -> DataFrame:
 
 
 def by_impact(events: DataFrame) -> DataFrame:
-    return events.orderBy(F.abs("current_impact").desc(), "pos" if "pos" in events.columns else "event_id")
+    """By absolute impact, then place. A sort first samples its input: from the shuffled events, so that they aren't scored twice."""
+    return events.repartition("event_id").orderBy(F.abs("current_impact").desc(), "pos" if "pos" in events.columns else "event_id")
 
 
 def movers(events: DataFrame, positive: bool, n: int | None = config.MOVERS) -> DataFrame:

@@ -27,7 +27,7 @@ def keyword_features(articles: DataFrame, now: Column, negative: tuple[str, ...]
     return hits.select(
         *articles.columns, "clean_excerpt", "negative_hits", "positive_hits", "kw_category", N.keyword_sentiment(p, n).alias("kw_sentiment"),
         N.keyword_severity(p, n, X.severity_bonus(text)).alias("kw_severity"), X.keyword_scale(text).alias("kw_scale"),
-        text.rlike(config.LASTING_WORDS).alias("kw_lasting"), D.age_hours(F.col("published_at"), now).alias("age_hours"),
+        X.has_word(text, config.LASTING_WORDS).alias("kw_lasting"), D.age_hours(F.col("published_at"), now).alias("age_hours"),
     )
 
 
