@@ -1,5 +1,7 @@
 """Feeds, and streams against their batch twins."""
 
+import xml.etree.ElementTree as ET
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,22 @@ def test_half_hour():
             return self
 
     assert R.every_half_hour(Writer()).given == {"processingTime": "30 minutes"}
+
+
+def test_a_feed_is_not_held_whole():
+    """20,000 items, with others among them, in the memory of a few; a feed torn after its last item gives none."""
+    import tracemalloc
+
+    item = "<item><title>t %d</title><description>&lt;p&gt;a &lt;b&gt;b&lt;/b&gt;&lt;/p&gt;</description><guid>x</guid></item><other><title>no item</title></other>\n"
+    body = "".join(item % k for k in range(20_000)).encode()
+    raw = b"<rss><channel><title>c</title>" + body + b"</channel></rss>"
+    tracemalloc.start()
+    try:
+        for k, row in enumerate(feeds.parse_rss(raw)):
+            assert row == (None, f"t {k}", None, "a b", "<p>a <b>b</b></p>")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert k == 19_999 and peak < 2_000_000
+    with pytest.raises(ET.ParseError):
+        next(iter(feeds.parse_rss(raw[:-6])))

@@ -215,11 +215,12 @@ def _write_feeds(spark: SparkSession, d: str) -> list[tuple[str, str]]:
         element("pubDate", F.when(k % 5 == 0, None).when(k % 3 == 0, "soon").otherwise(F.concat(at, F.lit(" GMT")))),
         element("description", F.when(k % 13 != 0, F.concat(F.lit("<p>"), F.lower("c_mktsegment"), F.lit(" <b>news</b></p>")))), F.lit("</item>"),
     )
-    listed = data.read(spark, d, "customer").select((k % FEEDS).alias("feed"), F.struct(k.alias("k"), item.alias("item")).alias("i")).groupBy("feed").agg(F.array_sort(F.collect_list("i")).alias("i"))
-    document = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>t</title>'), F.array_join(F.col("i.item"), ""), F.lit("</channel></rss>"))
+    items = data.read(spark, d, "customer").select((k % FEEDS).alias("feed"), k.alias("k"), item.alias("value"))
+    ends = [(f, at, text) for f in range(FEEDS) for at, text in ((-(1 << 63), '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>t</title>'), ((1 << 63) - 1, "</channel></rss>"))]
     folder = shared_path(spark, "feeds")
-    whole = listed.select("feed", document.alias("value")).unionByName(spark.createDataFrame([(FEEDS, "<rss><channel><item>")], "feed bigint, value string"))
-    whole.repartition("feed").write.partitionBy("feed").text(folder)
+    rows = items.unionByName(spark.createDataFrame([*ends, (FEEDS, 0, "<rss><channel><item>")], "feed bigint, k bigint, value string"))
+    # an item a line, so that no feed is ever one value
+    rows.repartition("feed").sortWithinPartitions("feed", "k").select("feed", "value").write.partitionBy("feed").text(folder)
     files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"feed=(\d+)", 1).cast("int").alias("feed"), "path")
     named = [(f"feed {r.feed}", r.path) for r in sorted(files.collect())]
     return [*named, ("feed gone", f"{folder}/none.xml")]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import json
+import shutil
+import tempfile
 import threading
 import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,13 +70,13 @@ def union_all(feeds: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, feeds)
 
 
-def fetch_url(url: str) -> bytes:
+def fetch_url(url: str) -> BinaryIO:
     request = urllib.request.Request(url, headers={"User-Agent": USER_AGENT})
     with urllib.request.urlopen(request, timeout=TIMEOUT_SECONDS) as response:
-        return response.read()
+        return _kept(response)
 
 
-def fetch_file(url: str) -> bytes:
+def fetch_file(url: str) -> BinaryIO:
     """A feed from a file system that pyarrow knows; web addresses as by fetch_url."""
     if url.startswith(("http:", "https:")):
         return fetch_url(url)
@@ -80,18 +84,52 @@ def fetch_file(url: str) -> bytes:
 
     files, path = fs.FileSystem.from_uri(url) if "://" in url else (fs.LocalFileSystem(), url.removeprefix("file:"))
     with files.open_input_stream(path) as f:
-        return f.read()
+        return _kept(f)
 
 
-def parse_rss(raw: bytes) -> list[tuple]:
-    """(link, title, pubDate, contentSnippet, content) of each item."""
-    out = []
-    for item in ET.fromstring(raw).iter("item"):
+def _kept(stream) -> BinaryIO:
+    """What a stream holds, in a temporary file that ends with its handle."""
+    kept = tempfile.TemporaryFile()
+    shutil.copyfileobj(stream, kept, 1 << 20)
+    return kept
+
+
+def parse_rss(raw: bytes | BinaryIO) -> Iterator[tuple]:
+    """(link, title, pubDate, contentSnippet, content) of each item, one at a time.
+
+    The feed is read to its end before this returns, so that a torn one fails and gives none, and again for the items."""
+    file = io.BytesIO(raw) if isinstance(raw, bytes) else raw
+    file.seek(0)
+    for _ in _items(file):
+        pass
+    return _fields(file)
+
+
+def _fields(file: BinaryIO) -> Iterator[tuple]:
+    file.seek(0)
+    for item in _items(file):
         get = item.findtext
         content = get("description")
         snippet = None if content is None else " ".join("".join(ET.fromstring(f"<x>{content}</x>").itertext()).split()) if "<" in content and _whole(content) else content
-        out.append((get("link"), get("title"), get("pubDate"), snippet, content))
-    return out
+        yield (get("link"), get("title"), get("pubDate"), snippet, content)
+
+
+def _items(file: BinaryIO) -> Iterator[ET.Element]:
+    """The item elements in order; what was read leaves the tree."""
+    above: list[ET.Element] = []
+    inside = 0
+    for event, element in ET.iterparse(file, ("start", "end")):
+        if event == "start":
+            above.append(element)
+            inside += element.tag == "item"
+            continue
+        above.pop()
+        inside -= element.tag == "item"
+        if not inside:
+            if element.tag == "item":
+                yield from element.iter("item")
+            if above:
+                del above[-1][-1]
 
 
 def _whole(content: str) -> bool:
@@ -111,7 +149,7 @@ class Feed(InputPartition):
 class FeedReader(DataSourceReader):
     """One task a feed. A feed that fails gives no item, and a row with the reason where errors are asked for."""
 
-    def __init__(self, feeds: list[list[str]], fetch: Callable[[str], bytes], errors: bool):
+    def __init__(self, feeds: list[list[str]], fetch: Callable[[str], bytes | BinaryIO], errors: bool):
         self.feeds, self.fetch, self.errors = feeds, fetch, errors
 
     def partitions(self) -> list[Feed]:
@@ -131,7 +169,7 @@ class FeedReader(DataSourceReader):
 class FeedDataSource(DataSource):
     """spark.read.format("feed"): option feeds, a JSON list of [name, url]; errors (false) keeps rows with the reason of failed feeds."""
 
-    fetch: Callable[[str], bytes] = staticmethod(fetch_url)
+    fetch: Callable[[str], bytes | BinaryIO] = staticmethod(fetch_url)
 
     @classmethod
     def name(cls) -> str:
@@ -147,7 +185,7 @@ class FeedDataSource(DataSource):
 class FeedFileDataSource(FeedDataSource):
     """The same over files: format "feed_file"."""
 
-    fetch: Callable[[str], bytes] = staticmethod(fetch_file)
+    fetch: Callable[[str], bytes | BinaryIO] = staticmethod(fetch_file)
 
     @classmethod
     def name(cls) -> str:
