@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,19 +63,32 @@ def request_json(articles: DataFrame) -> DataFrame:
     return request_rows(articles).select("url", F.to_json(F.struct("url", "headline", "excerpt", "publisher", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"))).alias("request"))
 
 
+#: Answers that a Python worker hands on at once.
+ANSWERS = 500
+
+
 def ask(articles: DataFrame, provider: Callable[[list[dict]], str], batch: int = config.MAX_ARTICLES) -> DataFrame:
     """responses(response_ord, raw) of a provider that answers a batch of requests with JSON; a call that fails gives null."""
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for lo in range(0, len(frame), batch):
-                part = frame.iloc[lo : lo + batch]
+    def answers(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([n for n, _ in rows], pa.int64()), pa.array([raw for _, raw in rows], pa.string())], names=["response_ord", "raw"])
+
+    def run(blocks: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for block in blocks:
+            for lo in range(0, block.num_rows, batch):
+                part = block.slice(lo, batch).to_pylist()  # the texts of one call at a time as Python's
+                n = [r.pop("n") for r in part][0]
                 try:
-                    out.append((int(part["n"].iloc[0]), provider(part.drop(columns="n").to_dict("records"))))
+                    raw = provider(part)
                 except Exception:  # the articles of a failed call fall back to keywords
-                    out.append((int(part["n"].iloc[0]), None))
-            yield pd.DataFrame(out, columns=["response_ord", "raw"])
+                    raw = None
+                out.append((n, raw))
+                if len(out) >= ANSWERS:
+                    yield answers(out)
+                    out.clear()
+        if out:
+            yield answers(out)
 
     rows = request_rows(articles).withColumn("published_at", F.col("published_at").cast("string")).withColumn("n", F.monotonically_increasing_id())
-    return rows.mapInPandas(run, "response_ord bigint, raw string")
+    return rows.mapInArrow(run, "response_ord bigint, raw string")
