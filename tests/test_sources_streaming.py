@@ -140,3 +140,14 @@ def test_a_feed_is_not_held_whole():
     assert k == 19_999 and peak < 2_000_000
     with pytest.raises(ET.ParseError):
         next(iter(feeds.parse_rss(raw[:-6])))
+
+
+def test_refreshed_articles_are_written_side_by_side(spark, sf_dir, tmp_path, monkeypatch):
+    """Each of the three batches is written by as many tasks as its articles have parts, not by one."""
+    from tidegauge import served
+
+    articles = served.data.articles
+    monkeypatch.setattr(served, "shared_path", lambda _, what: f"file://{tmp_path}/{what}")
+    monkeypatch.setattr(served.data, "articles", lambda s, d: articles(s, d).repartition(4))
+    assert {r.id for r in served.stream_refresh(spark, sf_dir).collect()} == {"0", "2"}
+    assert len(list((tmp_path / "articles").glob("*.parquet"))) == 12

@@ -486,7 +486,7 @@ def stream_refresh(spark, d):
 
     rows = data.articles(spark, d)
     for k in (0, 0, 1):
-        rows.filter(F.col("item_ord") % 2 == k).withColumn("published_at", F.col("published_at").cast("timestamp")).coalesce(1).write.mode("append").parquet(landed)
+        rows.filter(F.col("item_ord") % 2 == k).withColumn("published_at", F.col("published_at").cast("timestamp")).write.mode("append").parquet(landed)
         stream = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
         refresh_writer(stream, root, now_of, limit=None).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return warehouse.read(spark, root, "index_snapshots").select("id", "current_index", "change_since_previous", "active_event_count")
